@@ -34,9 +34,9 @@ def tfidf_long(df: DataFrame, doc: str, tokens: str, min_df: int = 1, use_idf: b
     document: bounded by one document's distinct terms."""
     tf = term_frequencies(df, doc, tokens)
     dfreq = document_frequencies(tf, doc, min_df)
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    j = tf.join(dfreq, "term").crossJoin(F.broadcast(n))  # n is one row
-    idf = F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0) if use_idf else F.lit(1.0)
+    n = df.count()  # one scalar: the number of documents
+    j = tf.join(dfreq, "term")
+    idf = F.log((F.lit(1.0) + F.lit(float(n))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0) if use_idf else F.lit(1.0)
     w = F.col("tf") * idf
     j = j.withColumn("__w", w)
     if norm:

@@ -160,10 +160,9 @@ def split_tail(df: DataFrame, date_col: str, key: str, train_frac: float = 0.8,
     the rest val (W10)."""
     order = [F.col(date_col).asc_nulls_last(), F.col(key).asc()]
     p = global_position(df, order, "__pos")
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    p = p.crossJoin(F.broadcast(n))  # one row
-    cut = F.floor(F.col("__n") * F.lit(train_frac) + F.lit(1e-9))
-    return p.withColumn(split_col, F.when(F.col("__pos") < cut, "train").otherwise("val")).drop("__pos", "__n")
+    n = df.count()  # one scalar
+    cut = int(n * train_frac + 1e-9)
+    return p.withColumn(split_col, F.when(F.col("__pos") < cut, "train").otherwise("val")).drop("__pos")
 
 
 def timeseries_folds(df: DataFrame, order: Sequence[Column], k: int = 3) -> DataFrame:
@@ -171,15 +170,14 @@ def timeseries_folds(df: DataFrame, order: Sequence[Column], k: int = 3) -> Data
     positions [n - (k-i)*t, n - (k-i-1)*t) and trains on all before.
     Output: input columns + fold, role (a row appears once per fold it is in)."""
     p = global_position(df, order, "__pos")
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    p = p.crossJoin(F.broadcast(n))
-    t = F.floor(F.col("__n") / F.lit(k + 1))
+    n = df.count()  # one scalar
+    t = n // (k + 1)
     folds = F.array(*[F.lit(i) for i in range(k)])
-    start = lambda i: F.col("__n") - (F.lit(k) - i) * t
+    start = lambda i: F.lit(n) - (F.lit(k) - i) * t
     member = F.filter(folds, lambda i: F.col("__pos") < start(i) + t)
     ex = p.withColumn("fold", F.explode(member))
     role = F.when(F.col("__pos") < start(F.col("fold")), "train").otherwise("test")
-    return ex.withColumn("role", role).drop("__pos", "__n")
+    return ex.withColumn("role", role).drop("__pos")
 
 
 # -- W12 -------------------------------------------------------------------

@@ -314,9 +314,9 @@ def doc_vectors_idf(spark, sf):
     """Paragraph vectors re-aimed: IDF-weighted mean of the word vectors."""
     d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     tf = term_frequencies(d, "doc_id", "tok")
-    n = d.agg(F.count(F.lit(1)).alias("__n"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select(
-        "term", (F.log((1.0 + F.col("__n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    n = float(d.count())  # one scalar: the number of documents
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+        "term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     toks = d.select("doc_id", F.explode("tok").alias("term")).join(idf, "term")
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding", weight=F.col("idf"))
     return m.select("doc_id", "dim", F.round("value", 6).alias("value"))
