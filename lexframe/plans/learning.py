@@ -1 +1,270 @@
-"""Queries."""
+"""Learning and evaluation jobs. Text cases are ``documents``
+joined to ``labels`` (quality is the label); temporal cases are ``orders``.
+Results are rows (rows-only check), except the per-dimension scaling and
+the linear term contributions, which have SQL oracles."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as TX
+from ..operators import learn as L
+from ..operators import sampling as S
+from ..operators.features import mean_vectors, tfidf_long
+from ..operators.reports import best_per_group, top_k
+from ..session import cut_lineage
+from .catalog import query, t
+from .sqlbits import clean_tokens_sql, q
+from .text import word_vectors
+from .windows import TEST_YEARS
+
+TOKENS = "tokens"
+
+
+def text_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents, stratified 80/20 split by label (W7), tokens once."""
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    d = d.select("doc_id", "lang", F.col("quality").cast("double").alias("label"),
+                 TX.clean_tokens(F.col("text")).alias(TOKENS))
+    return S.split_random(d, "label", "doc_id", 0.2)
+
+
+def _fit_eval(spark, sf, algo: str, params: dict, input_representation: str = "TF-IDF") -> DataFrame:
+    c = cut_lineage(text_cases(spark, sf))
+    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
+    feats = L.text_features(train, TOKENS, "features", min_df=2, use_idf=input_representation == "TF-IDF")
+    # the training vectors feed every optimiser iteration: keep them cached
+    tr, te = feats.transform(train).persist(), feats.transform(test)
+    n_train = tr.count()
+    model = L.estimator(algo, params, n_train).fit(tr)
+    m = L.evaluate(model.transform(te))
+    return m.select(F.lit(algo).alias("algo"), F.lit(input_representation).alias("input_representation"),
+                    F.lit(n_train).alias("train_size"), F.lit(te.count()).alias("test_size"),
+                    *[F.round(x, 6).alias(x) for x in ("accuracy", "precision", "recall", "f1", "mcc", "auc")])
+
+
+@query("fit_linear_svc")
+def fit_linear_svc(spark, sf):
+    return _fit_eval(spark, sf, "LinearSVC", {"C": 1})
+
+
+@query("fit_logistic")
+def fit_logistic(spark, sf):
+    return _fit_eval(spark, sf, "LogisticRegression", {"C": 10, "penalty": "l2", "max_iter": 100})
+
+
+@query("fit_random_forest")
+def fit_random_forest(spark, sf):
+    return _fit_eval(spark, sf, "RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": None},
+                     "N-Grams")
+
+
+@query("fit_gbt")
+def fit_gbt(spark, sf):
+    return _fit_eval(spark, sf, "GradientBoosting", {"n_estimators": 100, "learning_rate": 0.1, "gamma": 0,
+                                                     "max_depth": 3}, "N-Grams")
+
+
+@query("evaluate_model")
+def evaluate_model(spark, sf):
+    """Full-test evaluation record (M12/M13): fit on train, score test."""
+    r = _fit_eval(spark, sf, "LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 250})
+    return r.select(F.current_timestamp().alias("timestamp_utc"), F.lit("full_test_ml").alias("mode"), "algo",
+                    F.lit("1").alias("experiment"), F.lit("pf").alias("case_mode"), "input_representation",
+                    "train_size", "test_size", F.struct("accuracy", "f1", "precision", "recall", "mcc", "auc")
+                    .alias("test_metrics"))
+
+
+@query("standard_scale", """
+WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+s AS (SELECT dim, avg(v) AS mu, stddev_pop(v) AS sd FROM x GROUP BY dim)
+SELECT vec_id, CAST(x.dim AS INTEGER) AS dim, round(CASE WHEN sd > 0 THEN (v - mu) / sd ELSE 0 END, 6) AS value
+FROM x JOIN s ON x.dim = s.dim
+""")
+def standard_scale(spark, sf):
+    """M5 per dimension: (x - mean) / population std, from one grouped
+    aggregation (one row per dimension) joined back."""
+    e = t(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v"))
+    e = e.withColumn("v", F.col("v").cast("double"))
+    s = e.groupBy("dim").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    j = e.join(F.broadcast(s), "dim")  # one row per dimension
+    val = F.when(F.col("sd") > 0, (F.col("v") - F.col("mu")) / F.col("sd")).otherwise(F.lit(0.0))
+    return j.select("vec_id", F.col("dim").cast("int").alias("dim"), F.round(val, 6).alias("value"))
+
+
+@query("random_search")
+def random_search(spark, sf):
+    """M6: seeded draws from the logistic grid, 3 stratified folds, refit on
+    F1; the text featuriser is fitted once on the training split."""
+    c = cut_lineage(S.stratified_folds(text_cases(spark, sf), "label", "doc_id", 3))
+    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
+    feats = L.text_features(train, TOKENS, "features", min_df=2)
+    tr = feats.transform(train).persist()
+    best, cv_f1, model = L.cross_validate(tr, "LogisticRegression", L.GRIDS["LogisticRegression"], draws=10)
+    m = L.evaluate(model.transform(feats.transform(test)))
+    params = F.create_map(*[F.lit(x) for k, v in sorted(best.items()) for x in (k, str(v))])
+    return m.select(F.lit("LogisticRegression").alias("algo"), params.alias("best_params"),
+                    F.lit(round(cv_f1, 6)).alias("best_score_cv"), "f1", "mcc", "auc")
+
+
+def doc_vectors(spark, sf) -> DataFrame:
+    """Mean word vector per labelled document; none known -> zeros."""
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    toks = d.select("doc_id", F.explode(TX.clean_tokens(F.col("text"))).alias("term"))
+    m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding")
+    # (doc, dim) rows -> one 64-d array per document (bounded by the dimension)
+    v = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p"))
+    v = v.select("doc_id", F.transform("p", lambda x: x["value"]).alias("vec"))
+    base = d.select("doc_id", "lang", F.col("quality").cast("double").alias("label"))
+    j = base.join(v, "doc_id", "left")
+    return j.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), 64)))
+
+
+@query("fit_embedding")
+def fit_embedding(spark, sf):
+    """M8: document embeddings -> standardise -> logistic regression."""
+    c = S.split_random(doc_vectors(spark, sf), "label", "doc_id", 0.2).withColumn("raw", array_to_vector("vec"))
+    c = cut_lineage(c)
+    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
+    sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
+    n = train.count()
+    model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(sc.transform(train))
+    m = L.evaluate(model.transform(sc.transform(test)))
+    return m.select(F.lit("LogisticRegression").alias("algo"), F.lit("word2vec").alias("embedding"), "f1", "mcc", "auc")
+
+
+@query("fused_classifier")
+def fused_classifier(spark, sf):
+    """M16 re-aimed: precomputed document embedding + one-hot language
+    (unknown -> all zeros) -> hidden layer of 256 -> 2 outputs."""
+    c = S.split_random(doc_vectors(spark, sf), "label", "doc_id", 0.2).withColumn("emb", array_to_vector("vec"))
+    c = cut_lineage(c)
+    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
+    idx = StringIndexer(inputCol="lang", outputCol="lang_i", handleInvalid="keep").fit(train)
+    enc = OneHotEncoder(inputCols=["lang_i"], outputCols=["lang_v"], handleInvalid="keep", dropLast=True)
+    tr0 = idx.transform(train)
+    ohe = enc.fit(tr0)
+    hint = VectorSizeHint(inputCol="emb", size=64, handleInvalid="error")
+    prep = lambda df: L.assemble(hint.transform(ohe.transform(idx.transform(df))), ["emb", "lang_v"])
+    tr = prep(train).persist()
+    width = len(tr.select("features").first()["features"])
+    model = L.estimator("MLP", {"layers": [width, 256, 2], "max_iter": 100}, 0).fit(tr)
+    m = L.evaluate(model.transform(prep(test)))
+    return m.select(F.lit("MLP").alias("algo"), F.lit(width).alias("input_width"), "f1", "mcc", "auc")
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """M17 re-aimed: forest feature importances joined to the vocabulary,
+    top 20 terms."""
+    c = cut_lineage(text_cases(spark, sf))
+    train = c.filter(F.col("split") == "train")
+    feats = L.text_features(train, TOKENS, "features", min_df=5, use_idf=False)
+    model = L.estimator("RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": 10},
+                        0).fit(feats.transform(train).persist())
+    vocab = feats.stages[0].vocabulary
+    imp = model.featureImportances
+    pairs = [(vocab[i], float(v)) for i, v in zip(imp.indices, imp.values)]
+    df = spark.createDataFrame(pairs, "term string, importance double") if pairs else spark.createDataFrame(
+        [], "term string, importance double")
+    return top_k(df, [F.col("importance").desc(), F.col("term").asc()], 20)
+
+
+@query("term_contributions", f"""
+WITH docs AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+toks AS (SELECT doc_id, unnest({clean_tokens_sql('text')}) AS term FROM docs),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 5),
+n AS (SELECT count(*) AS n FROM docs),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + df.df)) + 1.0) AS w FROM tf JOIN df ON tf.term = df.term CROSS JOIN n),
+wn AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w),
+cls AS (SELECT t.term, count(DISTINCT t.doc_id) FILTER (WHERE d.quality = 1) AS p, count(DISTINCT t.doc_id) FILTER (WHERE d.quality = 0) AS q
+        FROM toks t JOIN docs d ON t.doc_id = d.doc_id GROUP BY t.term),
+np AS (SELECT count(*) FILTER (WHERE quality = 1) AS np, count(*) FILTER (WHERE quality = 0) AS nq FROM docs),
+coef AS (SELECT term, ln((p + 1.0) / (np + 2.0)) - ln((q + 1.0) / (nq + 2.0)) AS coef FROM cls CROSS JOIN np),
+c AS (SELECT wn.doc_id, wn.term, wn.weight * coef.coef AS contribution FROM wn JOIN coef ON wn.term = coef.term)
+SELECT doc_id, term, CAST(round(contribution, 6) AS DOUBLE) AS contribution FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(round(contribution, 9)) DESC, term) AS rn FROM c) WHERE rn <= 5
+""")
+def term_contributions(spark, sf):
+    """M18 re-aimed: a linear model's per-term contributions coef * x, the
+    top 5 per document by magnitude. The model is the closed-form
+    log-count-ratio (naive Bayes) model, so the contributions are exact."""
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select(
+        "doc_id", "quality", TX.clean_tokens(F.col("text")).alias("tok"))
+    w = tfidf_long(d, "doc_id", "tok", min_df=5)
+    present = d.select("doc_id", "quality", F.explode(F.array_distinct("tok")).alias("term"))
+    cls = present.groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("p"),
+                                      F.count_if(F.col("quality") == 0).alias("q"))
+    np_, nq_ = d.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
+    coef = cls.select("term", (F.log((F.col("p") + 1.0) / F.lit(np_ + 2.0))
+                               - F.log((F.col("q") + 1.0) / F.lit(nq_ + 2.0))).alias("coef"))
+    c = w.join(coef, "term").select("doc_id", "term", (F.col("weight") * F.col("coef")).alias("contribution"))
+    # top-k per document: bounded by one document's distinct terms
+    win = Window.partitionBy("doc_id").orderBy(F.abs(F.round("contribution", 9)).desc(), "term")
+    top = c.withColumn("rn", F.row_number().over(win)).filter(F.col("rn") <= 5)
+    return top.select("doc_id", "term", F.round("contribution", 6).alias("contribution"))
+
+
+# -- M10 / M14: records -> refit; sliding windows ------------------------------------------
+def order_cases(spark, sf) -> DataFrame:
+    o = t(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    return o.select("o_orderkey", F.year("o_orderdate").alias("year"), "o_orderpriority",
+                    F.log1p("o_totalprice").alias("log_price"),
+                    F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def order_features(df: DataFrame) -> DataFrame:
+    aux = [(F.col("o_orderpriority") == p).cast("double").alias(f"prio_{i}") for i, p in enumerate(PRIORITIES)]
+    return L.assemble(df.select("*", *aux), ["log_price"] + [f"prio_{i}" for i in range(len(PRIORITIES))])
+
+
+@query("refit_from_record")
+def refit_from_record(spark, sf):
+    """Evaluate a small grid, keep the best record (W14), rebuild the
+    estimator from the record's parameter map and refit on all training
+    rows."""
+    c = cut_lineage(S.split_random(order_cases(spark, sf), "label", "o_orderkey", 0.2))
+    train = order_features(c.filter(F.col("split") == "train")).persist()
+    test = order_features(c.filter(F.col("split") == "test"))
+    n = train.count()
+    recs = []
+    for params in L.sample_grid({"C": [0.1, 10], "max_iter": [50, 100], "penalty": ["l2"]}, 4):
+        m = L.evaluate(L.estimator("LogisticRegression", params, n).fit(train).transform(test)).first()
+        recs.append((str(params["C"]), str(params["max_iter"]), float(m["f1"])))
+    r = spark.createDataFrame(recs, "C string, max_iter string, f1 double").withColumn("algo", F.lit("LogisticRegression"))
+    best = best_per_group(r, ["algo"], [-F.col("f1"), F.col("C"), F.col("max_iter")]).first()
+    params = {"C": float(best["C"]), "max_iter": int(best["max_iter"]), "penalty": "l2"}
+    m = L.evaluate(L.estimator("LogisticRegression", params, n).fit(train).transform(test))
+    return m.select(F.lit("LogisticRegression").alias("algo"), F.lit(best["C"]).alias("C"),
+                    F.lit(best["max_iter"]).alias("max_iter"), "f1", "mcc", "auc")
+
+
+@query("sliding_window_eval")
+def sliding_window_eval(spark, sf):
+    """For every test year T, train on years <= T-1 (balanced), test on
+    T. Membership is one explode (J7); one distributed fit per window."""
+    m = S.window_membership(order_cases(spark, sf), "year", TEST_YEARS)
+    m = cut_lineage(S.balance_windows(S.windows_with_test(m), "label", "o_orderkey"))
+    out = None
+    for ty in TEST_YEARS:
+        w = m.filter(F.col("test_year") == ty)
+        train = order_features(w.filter(F.col("role") == "train")).persist()
+        test = order_features(w.filter(F.col("role") == "test"))
+        n = train.count()
+        if n == 0:
+            continue
+        model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(train)
+        r = L.evaluate(model.transform(test)).select(F.lit(ty).alias("test_year"), F.lit(n).alias("train_size"),
+                                                     "f1", "mcc", "auc")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+__all__ = ["q", "vector_to_array"]
