@@ -149,7 +149,11 @@ def sentences(c: str | Column) -> Column:
 
 
 def ngrams(tokens: str | Column, n_min: int, n_max: int) -> Column:
-    """Word n-grams for every n in [n_min, n_max], joined by spaces."""
+    """Word n-grams for every n in [n_min, n_max], joined by spaces.
+
+    Pass a token *column* (project the tokens first): the lambda reads the
+    array once per gram, so an inline token expression would be recomputed
+    per gram."""
     t = col(tokens)
     parts = []
     for n in range(n_min, n_max + 1):
@@ -158,3 +162,11 @@ def ngrams(tokens: str | Column, n_min: int, n_max: int) -> Column:
         # sequence(1, 0) counts down; drop those phantom grams.
         parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def explode_tokens(c: str | Column) -> Column:
+    """``explode_outer`` for token arrays; callers drop the null row of an
+    empty array. Plain ``explode`` makes the optimizer infer a
+    ``size(array) > 0`` filter that inlines the whole token expression
+    (re-tokenising every row, quadratic for n-gram lambdas)."""
+    return F.explode_outer(col(c))

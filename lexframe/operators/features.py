@@ -13,13 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import explode_tokens
 from .sampling import global_position
 
 
 def term_frequencies(df: DataFrame, doc: str, tokens: str) -> DataFrame:
     """(doc, term, tf): one row per distinct term of a document."""
-    return (df.select(doc, F.explode(tokens).alias("term"))
-            .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+    terms = df.select(doc, explode_tokens(tokens).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame, doc: str, min_df: int = 1) -> DataFrame:

@@ -113,7 +113,8 @@ def random_search(spark, sf):
 def doc_vectors(spark, sf) -> DataFrame:
     """Mean word vector per labelled document; none known -> zeros."""
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
-    toks = d.select("doc_id", F.explode(TX.clean_tokens(F.col("text"))).alias("term"))
+    toks = d.select("doc_id", TX.explode_tokens(TX.clean_tokens(F.col("text"))).alias("term"))
+    toks = toks.filter(F.col("term").isNotNull())
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding")
     # (doc, dim) rows -> one 64-d array per document (bounded by the dimension)
     v = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p"))
@@ -196,7 +197,8 @@ def term_contributions(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select(
         "doc_id", "quality", TX.clean_tokens(F.col("text")).alias("tok"))
     w = tfidf_long(d, "doc_id", "tok", min_df=5)
-    present = d.select("doc_id", "quality", F.explode(F.array_distinct("tok")).alias("term"))
+    present = d.select("doc_id", "quality", TX.explode_tokens(F.array_distinct("tok")).alias("term"))
+    present = present.filter(F.col("term").isNotNull())
     cls = present.groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("p"),
                                       F.count_if(F.col("quality") == 0).alias("q"))
     np_, nq_ = d.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()

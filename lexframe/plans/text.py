@@ -94,7 +94,8 @@ GROUP BY literal, tok
 """)
 def fuzzy_tokens(spark, sf):
     """Tokens within the FUZZY edit bound of each literal, with counts."""
-    toks = t(spark, sf, "documents").select(F.explode(match_tokens(F.col("text"))).alias("token"))
+    toks = t(spark, sf, "documents").select(TX.explode_tokens(match_tokens(F.col("text"))).alias("token"))
+    toks = toks.filter(F.col("token").isNotNull())
     # literals are a handful of rows: an array literal, exploded per token
     lits = F.array(*[F.struct(F.lit(w).alias("literal"), F.lit(fuzzy_bound(w)).alias("k")) for w in _FUZZY_WORDS])
     near = F.filter(lits, lambda L: (F.abs(F.length("token") - F.length(L["literal"])) <= L["k"])
@@ -185,8 +186,8 @@ SELECT doc_id, len(t) AS n_real,
 FROM y
 """)
 def truncate_pad(spark, sf):
-    d = t(spark, sf, "documents")
-    ids, mask = TX.truncate_pad(TX.clean_tokens(F.col("text")), 64)
+    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    ids, mask = TX.truncate_pad(F.col("tok"), 64)
     return d.select("doc_id", F.size(F.filter(ids, lambda x: x != "[PAD]")).alias("n_real"),
                     F.md5(F.array_join(ids, " ")).alias("ids_digest"),
                     F.aggregate(mask, F.lit(0), lambda a, b: a + b).cast("bigint").alias("mask_sum"))
@@ -202,7 +203,7 @@ FROM s GROUP BY doc_id
 """)
 def sentences(spark, sf):
     d = t(spark, sf, "documents")
-    s = d.select("doc_id", F.explode(TX.sentences(F.col("text"))).alias("sentence"))
+    s = d.select("doc_id", TX.explode_tokens(TX.sentences(F.col("text"))).alias("sentence"))
     return s.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).cast("bigint").alias("n_chars"),
         F.md5(F.array_join(F.array_sort(F.collect_list("sentence")), "|")).alias("digest"))
@@ -230,7 +231,10 @@ FROM g GROUP BY doc_id
 """)
 def ngrams(spark, sf):
     d = t(spark, sf, "documents").filter(F.col("lang") == "en")
-    g = d.select("doc_id", F.explode(TX.ngrams(TX.clean_tokens(F.col("text")), 1, 3)).alias("gram"))
+    # tokens as a column first: the n-gram lambda reads it many times
+    d = d.select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    g = d.select("doc_id", TX.explode_tokens(TX.ngrams(F.col("tok"), 1, 3)).alias("gram"))
+    g = g.filter(F.col("gram").isNotNull())
     return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_grams"), F.count_distinct("gram").alias("n_distinct"),
                                    F.md5(F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("digest"))
 
@@ -266,7 +270,8 @@ toks AS (
 @query("ngram_tf_l2", tfidf_sql(_GRAM_CTE, 2, False, True))
 def ngram_tf_l2(spark, sf):
     d = t(spark, sf, "documents").filter(F.col("lang") == "en")
-    d = d.select("doc_id", TX.ngrams(TX.clean_tokens(F.col("text")), 1, 2).alias("tok"))
+    d = d.select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = d.select("doc_id", TX.ngrams(F.col("tok"), 1, 2).alias("tok"))
     w = tfidf_long(d, "doc_id", "tok", min_df=2, use_idf=False, norm=True)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -293,13 +298,14 @@ wv AS (SELECT r.term, e.embedding FROM ranked r JOIN embeddings e ON r.term_id =
 WITH {_WORDVEC_SQL},
 x AS (SELECT t.doc_id, unnest(wv.embedding) AS v, generate_subscripts(wv.embedding, 1) - 1 AS dim
       FROM toks t JOIN wv ON t.term = wv.term)
-SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(round(avg(v), 6) AS DOUBLE) AS value FROM x GROUP BY doc_id, dim
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(round(avg(v), 6) AS DOUBLE) + 0.0 AS value FROM x GROUP BY doc_id, dim
 """)
 def doc_mean_embedding(spark, sf):
     d = t(spark, sf, "documents")
-    toks = d.select("doc_id", F.explode(TX.clean_tokens(F.col("text"))).alias("term"))
+    toks = d.select("doc_id", TX.explode_tokens(TX.clean_tokens(F.col("text"))).alias("term"))
+    toks = toks.filter(F.col("term").isNotNull())
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding")
-    return m.select("doc_id", "dim", F.round("value", 6).alias("value"))
+    return m.select("doc_id", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("doc_vectors_idf", f"""
@@ -308,7 +314,7 @@ n AS (SELECT count(*) AS n FROM docs),
 idf AS (SELECT term, ln((1.0 + n.n) / (1.0 + df)) + 1.0 AS idf FROM voc CROSS JOIN n),
 x AS (SELECT t.doc_id, i.idf AS w, unnest(wv.embedding) AS v, generate_subscripts(wv.embedding, 1) - 1 AS dim
       FROM toks t JOIN wv ON t.term = wv.term JOIN idf i ON t.term = i.term)
-SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(round(sum(v * w) / sum(w), 6) AS DOUBLE) AS value FROM x GROUP BY doc_id, dim
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(round(sum(v * w) / sum(w), 6) AS DOUBLE) + 0.0 AS value FROM x GROUP BY doc_id, dim
 """)
 def doc_vectors_idf(spark, sf):
     """Paragraph vectors re-aimed: IDF-weighted mean of the word vectors."""
@@ -317,9 +323,9 @@ def doc_vectors_idf(spark, sf):
     n = float(d.count())  # one scalar: the number of documents
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    toks = d.select("doc_id", F.explode("tok").alias("term")).join(idf, "term")
+    toks = d.select("doc_id", TX.explode_tokens("tok").alias("term")).filter(F.col("term").isNotNull()).join(idf, "term")
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding", weight=F.col("idf"))
-    return m.select("doc_id", "dim", F.round("value", 6).alias("value"))
+    return m.select("doc_id", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("word2vec_train")
