@@ -40,10 +40,12 @@ def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[str]) -> Data
     return p.select(rows, *[F.coalesce(F.col(v), F.lit(0)).cast("bigint").alias(v) for v in values])
 
 
-def row_percent(ct: DataFrame, rows: str, values: Sequence[str], digits: int = 4) -> DataFrame:
-    """Each cell as a percentage of its row total."""
+def row_percent(ct: DataFrame, rows: str, values: Sequence[str], digits: int = 4,
+                keep_counts: bool = False) -> DataFrame:
+    """Each cell as a percentage of its row total (one projection over
+    the crosstab, optionally keeping the counts)."""
     total = sum((F.col(v) for v in values), F.lit(0))
-    return ct.select(rows, *[
+    return ct.select(rows, *(list(values) if keep_counts else []), *[
         F.round(F.col(v) * 100.0 / F.nullif(total, F.lit(0)), digits).alias(f"pct_{v}") for v in values
     ], total.alias("total"))
 

@@ -134,6 +134,24 @@ def split_random(df: DataFrame, label: str, key: str, test_frac: float = 0.2, se
     return j.withColumn(split_col, F.when(F.col("__rank") <= ntest, "test").otherwise("train")).drop("__rank", "__n")
 
 
+def balanced_split(df: DataFrame, label: str, key: str, pos, neg, test_frac: float = 0.2, seed: int = SEED,
+                   split_col: str = "split") -> DataFrame:
+    """W4 + W7 in one ranking pass. The majority rows a down-sample drops
+    are the first ``n_drop`` of their class in hash order, so inside the
+    balanced pool a row's rank is ``rank - n_drop``: the first
+    ``ceil(frac * m)`` of those are test, and the dropped rows go to test
+    as well (m = minority count)."""
+    r = stratified_rank(df, [label], key, seed, "__rank")
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    j = _null_safe_join(r, c, [label])
+    m = df.agg(F.count_if(F.col(label) == pos).alias("p"), F.count_if(F.col(label) == neg).alias("q")).first()
+    minority = min(m["p"], m["q"])
+    n_drop = F.col("__n") - F.lit(minority)
+    ntest = math.ceil(minority * test_frac - 1e-9)
+    test = (F.col("__rank") <= n_drop) | (F.col("__rank") - n_drop <= ntest)
+    return j.withColumn(split_col, F.when(test, "test").otherwise("train")).drop("__rank", "__n")
+
+
 # -- W10 / W13 helpers -----------------------------------------------------
 def global_position(df: DataFrame, order: Sequence[Column], pos_col: str = "pos") -> DataFrame:
     """0-based position of every row in a total order, computed by range

@@ -10,7 +10,7 @@ from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators.features import term_frequencies
 from ..operators.sampling import hash_order
-from .catalog import query, t
+from .catalog import docs, query, t
 from .scalars import articles_frame, _PROV_SQL
 from .sqlbits import clean_tokens_sql
 from .windows import cases, random_split
@@ -313,7 +313,7 @@ SELECT term, count(*) AS df FROM x GROUP BY term ORDER BY df DESC, term LIMIT 20
 """)
 def top_terms(spark, sf):
     """Top-20 terms by document frequency (the limit is the feature)."""
-    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text"), stopwords=True).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text"), stopwords=True).alias("tok"))
     v = term_frequencies(d, "doc_id", "tok").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return R.top_k(v, [F.col("df").desc(), F.col("term").asc()], 20)
 
@@ -331,3 +331,29 @@ def error_examples(spark, sf):
     b = p.select("doc_id", F.when(F.col("label") != F.col("pred_len"), "misclassified")
                  .when(F.col("label") == 1, "correct_affirmed").otherwise("correct").alias("bucket"))
     return R.best_per_group(b, ["bucket"], [hash_order("doc_id"), F.col("doc_id")])
+
+
+# -- P31 ----------------------------------------------------------------------------------
+@query("flatten_results", f"""
+WITH {REC_SQL}
+SELECT event_id, case_mode, experiment, algo, feature, round(f1, 6) AS f1, round(mcc, 6) AS mcc,
+  CASE WHEN f1 >= 0.1 THEN round(f1 * 0.9, 6) END AS auc,
+  CAST(json_extract(params, '$.C') AS DOUBLE) AS param_c
+FROM (SELECT *, '{{"C": ' || CAST(round(f1 * 10, 3) AS VARCHAR) || '}}' AS params FROM rec)
+WHERE algo = 'click'
+""")
+def flatten_results(spark, sf):
+    """Nested result records (metrics struct, params as a JSON string) to one
+    flat row each, for one mode; a metric missing in a record stays null."""
+    r = result_records(spark, sf)
+    nested = r.select(
+        "event_id", "case_mode", "experiment", "algo", "feature",
+        F.struct(F.col("f1").alias("f1"), F.col("mcc").alias("mcc"),
+                 F.when(F.col("f1") >= 0.1, F.col("f1") * 0.9).alias("auc")).alias("test_metrics"),
+        F.to_json(F.struct(F.round(F.col("f1") * 10, 3).alias("C"))).alias("params"))
+    flat = nested.filter(F.col("algo") == "click").select(
+        "event_id", "case_mode", "experiment", "algo", "feature",
+        F.round("test_metrics.f1", 6).alias("f1"), F.round("test_metrics.mcc", 6).alias("mcc"),
+        F.round("test_metrics.auc", 6).alias("auc"),
+        F.get_json_object("params", "$.C").cast("double").alias("param_c"))
+    return flat

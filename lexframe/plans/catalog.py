@@ -33,5 +33,20 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan yields
+    fewer input splits than cores (a few large row groups). A no-op for a
+    large table, whose scan already has many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def docs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """``documents`` (optionally filtered first) spread over the cores, for
+    the per-row text work (rules, tokens)."""
+    d = t(spark, sf_dir, "documents")
+    return spread(d.filter(where) if where is not None else d)
+
+
 def load_all() -> None:
     from . import aggregates, ingest, joins, learning, scalars, text, windows  # noqa: F401

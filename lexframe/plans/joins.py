@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rulepacks as RP
 from ..functions.rules import classify, classify_combined
 from . import oracle_rules as OR
-from .catalog import query, t
+from .catalog import docs, query, t
 
 EXPERIMENTS = ["1", "2"]
 CASE_MODES = ["pf", "op", "both"]
@@ -27,7 +27,7 @@ FROM c LEFT JOIN sub ON c.doc_id = sub.doc_id
 def label_writeback(spark, sf):
     """Sub-class labels computed on one class only, written back onto the
     full table by a left join on the key (J1)."""
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     c = d.select("doc_id", "text", classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER).alias("rule_class"))
     sub = c.filter(F.col("rule_class") == "with_the").select(
         "doc_id", classify_combined(RP.APPELLANT_TYPE, F.col("text"), "3", ("2", "1"), RP.APPELLANT_ORDER)

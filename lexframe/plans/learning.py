@@ -16,7 +16,7 @@ from ..operators import sampling as S
 from ..operators.features import mean_vectors, tfidf_long
 from ..operators.reports import best_per_group, top_k
 from ..session import cut_lineage
-from .catalog import query, t
+from .catalog import docs, query, t
 from .sqlbits import clean_tokens_sql, q
 from .text import word_vectors
 from .windows import TEST_YEARS
@@ -26,7 +26,7 @@ TOKENS = "tokens"
 
 def text_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents, stratified 80/20 split by label (W7), tokens once."""
-    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    d = docs(spark, sf).join(t(spark, sf, "labels"), "doc_id")
     d = d.select("doc_id", "lang", F.col("quality").cast("double").alias("label"),
                  TX.clean_tokens(F.col("text")).alias(TOKENS))
     return S.split_random(d, "label", "doc_id", 0.2)
@@ -112,7 +112,7 @@ def random_search(spark, sf):
 
 def doc_vectors(spark, sf) -> DataFrame:
     """Mean word vector per labelled document; none known -> zeros."""
-    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    d = docs(spark, sf).join(t(spark, sf, "labels"), "doc_id")
     toks = d.select("doc_id", TX.explode_tokens(TX.clean_tokens(F.col("text"))).alias("term"))
     toks = toks.filter(F.col("term").isNotNull())
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding")
@@ -194,7 +194,7 @@ def term_contributions(spark, sf):
     """M18 re-aimed: a linear model's per-term contributions coef * x, the
     top 5 per document by magnitude. The model is the closed-form
     log-count-ratio (naive Bayes) model, so the contributions are exact."""
-    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select(
+    d = docs(spark, sf).join(t(spark, sf, "labels"), "doc_id").select(
         "doc_id", "quality", TX.clean_tokens(F.col("text")).alias("tok"))
     w = tfidf_long(d, "doc_id", "tok", min_df=5)
     present = d.select("doc_id", "quality", TX.explode_tokens(F.array_distinct("tok")).alias("term"))

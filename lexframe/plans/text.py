@@ -13,7 +13,7 @@ from ..operators.clean import dedup_keep_last
 from ..operators.features import mean_vectors, term_frequencies, tfidf_long, vocabulary_ids
 from ..operators.reports import crosstab, row_percent
 from . import oracle_rules as OR
-from .catalog import query, t
+from .catalog import docs, query, t
 from .sqlbits import clean_tokens_sql, q, tfidf_sql
 
 OUTCOMES = ["Affirmed", "Reversed", "Unknown"]
@@ -21,23 +21,32 @@ OUTCOMES = ["Affirmed", "Reversed", "Unknown"]
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     """documents left-joined to labels; outcome Affirmed/Reversed/Unknown."""
-    d = t(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    d = docs(spark, sf).select("doc_id", "text", "lang", "source")
     lab = t(spark, sf, "labels").select("doc_id", "quality")
     j = d.join(lab, "doc_id", "left")
-    return j.withColumn("outcome", F.when(F.col("quality") == 1, "Affirmed")
-                        .when(F.col("quality") == 0, "Reversed").otherwise("Unknown"))
+    return j.withColumn("outcome", outcome_of_quality())
+
+
+def outcome_of_quality():
+    return F.when(F.col("quality") == 1, "Affirmed").when(F.col("quality") == 0, "Reversed").otherwise("Unknown")
 
 
 def rule_outcome_crosstab(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: dedup -> rule class -> crosstab class x outcome with row
-    percentages. How does the outcome differ by rule class?"""
-    j = labelled_documents(spark, sf).withColumn("text_key", F.md5("text"))
+    """Flagship: rule class -> dedup -> crosstab class x outcome with row
+    percentages. How does the outcome differ by rule class?
+
+    The rules and the text hash run map-side on each document; only
+    (doc_id, text_key, rule_class) leaves the scan, so neither the label
+    join nor the dedup shuffle ever moves a text."""
+    d = docs(spark, sf)
+    facts = d.select("doc_id", F.md5("text").alias("text_key"),
+                     classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER).alias("rule_class"))
+    lab = t(spark, sf, "labels").select("doc_id", "quality")
+    j = facts.join(lab, "doc_id", "left").withColumn("outcome", outcome_of_quality())
     # Prefer labelled copies of a duplicated text, keep the last one
     u = dedup_keep_last(j, key="text_key", title="quality", seq="doc_id")
-    c = u.withColumn("rule_class", classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER))
-    ct = crosstab(c, "rule_class", "outcome", OUTCOMES)
-    pct = row_percent(ct, "rule_class", OUTCOMES)
-    return ct.join(pct, "rule_class").select("rule_class", *OUTCOMES, *[f"pct_{o}" for o in OUTCOMES], "total")
+    ct = crosstab(u, "rule_class", "outcome", OUTCOMES)
+    return row_percent(ct, "rule_class", OUTCOMES, keep_counts=True)
 
 
 _DEDUP_SQL = """
@@ -76,7 +85,7 @@ FROM (SELECT doc_id, {OR.flags_sql(RP.LICENCE, 'text')} AS sym FROM documents)
 """)
 def phrase_rules(spark, sf):
     """Every label of the licence pack as a boolean per document."""
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     sym = RP.LICENCE.symbolise(match_tokens(F.col("text")))
     hits = RP.LICENCE.hits(sym)
     return d.select("doc_id", *[hits[lab].alias(f"hit_{lab}") for lab in RP.LICENCE_ORDER])
@@ -94,7 +103,7 @@ GROUP BY literal, tok
 """)
 def fuzzy_tokens(spark, sf):
     """Tokens within the FUZZY edit bound of each literal, with counts."""
-    toks = t(spark, sf, "documents").select(TX.explode_tokens(match_tokens(F.col("text"))).alias("token"))
+    toks = docs(spark, sf).select(TX.explode_tokens(match_tokens(F.col("text"))).alias("token"))
     toks = toks.filter(F.col("token").isNotNull())
     # literals are a handful of rows: an array literal, exploded per token
     lits = F.array(*[F.struct(F.lit(w).alias("literal"), F.lit(fuzzy_bound(w)).alias("k")) for w in _FUZZY_WORDS])
@@ -112,7 +121,7 @@ SELECT doc_id,
 FROM documents
 """)
 def classify_priority(spark, sf):
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     return d.select("doc_id", classify(RP.CASE_TYPE, F.col("text"), RP.CASE_TYPE_ORDER).alias("case_type"),
                     classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER).alias("licence_class"))
 
@@ -129,7 +138,7 @@ FROM c WHERE rule_class IN ('with_the', 'and_of')
 def subclassify(spark, sf):
     """Appellant-type rules applied only to the rows of two main classes
     (filter first: the second pack runs on those rows only)."""
-    d = t(spark, sf, "documents").filter(F.col("lang") == "en")
+    d = docs(spark, sf, F.col("lang") == "en")
     c = d.select("doc_id", "text", classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER).alias("rule_class"))
     c = c.filter(F.col("rule_class").isin("with_the", "and_of"))
     sub = classify_combined(RP.APPELLANT_TYPE, F.col("text"), "3", ("2", "1"), RP.APPELLANT_ORDER)
@@ -149,7 +158,7 @@ def extract_outcome(spark, sf):
 
 # -- T1-T9 ---------------------------------------------------------------------
 def _token_digest(spark, sf, **opts):
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     tok = TX.clean_tokens(F.col("text"), **opts)
     return d.select("doc_id", F.size(tok).alias("n_tokens"), F.md5(F.array_join(tok, " ")).alias("digest"))
 
@@ -173,7 +182,7 @@ SELECT doc_id, md5(array_to_string({clean_tokens_sql('text', stopwords=True, lem
 FROM documents
 """)
 def model_text(spark, sf):
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     return d.select("doc_id", F.md5(TX.model_text(F.col("text"))).alias("digest"))
 
 
@@ -186,7 +195,7 @@ SELECT doc_id, len(t) AS n_real,
 FROM y
 """)
 def truncate_pad(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     ids, mask = TX.truncate_pad(F.col("tok"), 64)
     return d.select("doc_id", F.size(F.filter(ids, lambda x: x != "[PAD]")).alias("n_real"),
                     F.md5(F.array_join(ids, " ")).alias("ids_digest"),
@@ -202,7 +211,7 @@ SELECT doc_id, count(*) AS n_sentences, sum(length(sentence)) AS n_chars, md5(st
 FROM s GROUP BY doc_id
 """)
 def sentences(spark, sf):
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     s = d.select("doc_id", TX.explode_tokens(TX.sentences(F.col("text"))).alias("sentence"))
     return s.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).cast("bigint").alias("n_chars"),
@@ -214,7 +223,7 @@ SELECT lang, count(*) AS n_docs, CAST(sum(len({clean_tokens_sql('text')})) AS BI
 FROM documents GROUP BY lang
 """)
 def corpus_stats(spark, sf):
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
                                  F.sum(F.size(TX.clean_tokens(F.col("text")))).cast("bigint").alias("n_tokens"))
 
@@ -230,7 +239,7 @@ SELECT doc_id, count(*) AS n_grams, count(DISTINCT gram) AS n_distinct, md5(stri
 FROM g GROUP BY doc_id
 """)
 def ngrams(spark, sf):
-    d = t(spark, sf, "documents").filter(F.col("lang") == "en")
+    d = docs(spark, sf, F.col("lang") == "en")
     # tokens as a column first: the n-gram lambda reads it many times
     d = d.select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     g = d.select("doc_id", TX.explode_tokens(TX.ngrams(F.col("tok"), 1, 3)).alias("gram"))
@@ -244,7 +253,7 @@ WITH x AS (SELECT DISTINCT doc_id, unnest({clean_tokens_sql('text')}) AS term FR
 SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 5
 """)
 def min_df_vocab(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     tf = term_frequencies(d, "doc_id", "tok")
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= 5)
 
@@ -255,7 +264,7 @@ toks AS (SELECT doc_id, unnest({clean_tokens_sql('text')}) AS term FROM docs)"""
 
 @query("tfidf_l2", tfidf_sql(_TOKS_CTE, 5, True, True))
 def tfidf_l2(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     w = tfidf_long(d, "doc_id", "tok", min_df=5, use_idf=True, norm=True)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -269,7 +278,7 @@ toks AS (
 
 @query("ngram_tf_l2", tfidf_sql(_GRAM_CTE, 2, False, True))
 def ngram_tf_l2(spark, sf):
-    d = t(spark, sf, "documents").filter(F.col("lang") == "en")
+    d = docs(spark, sf, F.col("lang") == "en")
     d = d.select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     d = d.select("doc_id", TX.ngrams(F.col("tok"), 1, 2).alias("tok"))
     w = tfidf_long(d, "doc_id", "tok", min_df=2, use_idf=False, norm=True)
@@ -280,7 +289,7 @@ def ngram_tf_l2(spark, sf):
 def word_vectors(spark, sf) -> DataFrame:
     """Word -> vector store derived from the tables: the corpus vocabulary
     ranked by document frequency, word of rank r gets embedding vec_id r."""
-    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     voc = vocabulary_ids(term_frequencies(d, "doc_id", "tok"), "doc_id", 1)
     e = t(spark, sf, "embeddings")
     return voc.join(e, voc.term_id == e.vec_id).select(F.col("term").alias("word"), "embedding")
@@ -301,7 +310,7 @@ x AS (SELECT t.doc_id, unnest(wv.embedding) AS v, generate_subscripts(wv.embeddi
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(round(avg(v), 6) AS DOUBLE) + 0.0 AS value FROM x GROUP BY doc_id, dim
 """)
 def doc_mean_embedding(spark, sf):
-    d = t(spark, sf, "documents")
+    d = docs(spark, sf)
     toks = d.select("doc_id", TX.explode_tokens(TX.clean_tokens(F.col("text"))).alias("term"))
     toks = toks.filter(F.col("term").isNotNull())
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding")
@@ -318,7 +327,7 @@ SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(round(sum(v * w) / sum(w), 6) A
 """)
 def doc_vectors_idf(spark, sf):
     """Paragraph vectors re-aimed: IDF-weighted mean of the word vectors."""
-    d = t(spark, sf, "documents").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     tf = term_frequencies(d, "doc_id", "tok")
     n = float(d.count())  # one scalar: the number of documents
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
@@ -334,7 +343,7 @@ def word2vec_train(spark, sf):
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    d = t(spark, sf, "documents").filter((F.col("lang") == "en") & (F.col("source") != "src0"))
+    d = docs(spark, sf, (F.col("lang") == "en") & (F.col("source") != "src0"))
     tok = d.select(TX.clean_tokens(F.col("text")).alias("tokens"))
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     w2v = Word2Vec(vectorSize=300, minCount=10, windowSize=5, maxIter=3, seed=42, inputCol="tokens",

@@ -99,10 +99,7 @@ def validation_sample(spark, sf):
 def random_split(c: DataFrame) -> DataFrame:
     """Experiment 1: down-sample the majority, stratified 80/20 of the
     balanced pool, the dropped majority rows join the test side."""
-    f = S.downsample_flag(c, "outcome", "o_orderkey", "Affirmed", "Reversed")
-    kept = S.split_random(f.filter("kept").drop("kept"), "label", "o_orderkey", 0.2)
-    dropped = f.filter(~F.col("kept")).drop("kept").withColumn("split", F.lit("test"))
-    return kept.unionByName(dropped)
+    return S.balanced_split(c, "label", "o_orderkey", 1, 0, 0.2)
 
 
 @query("split_random", f"""
