@@ -24,8 +24,13 @@ def term_frequencies(df: DataFrame, doc: str, tokens: str) -> DataFrame:
 
 
 def document_frequencies(tf: DataFrame, doc: str, min_df: int = 1) -> DataFrame:
-    """(term, df) for terms in at least ``min_df`` documents."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    """(term, df, cf) for terms in at least ``min_df`` documents.
+
+    Reading ``tf`` as well (collection frequency) keeps this branch's input
+    identical to the tf branch, so the tokenising scan and its shuffle are
+    computed once and reused (ReusedExchange) rather than twice."""
+    return (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+            .filter(F.col("df") >= min_df))
 
 
 def tfidf_long(df: DataFrame, doc: str, tokens: str, min_df: int = 1, use_idf: bool = True,
@@ -58,13 +63,16 @@ def mean_vectors(tokens_long: DataFrame, doc: str, vectors: DataFrame, word: str
     known tokens of each document (T18/T20). Unknown tokens are ignored; a
     document with none is absent (its vector is null).
 
-    ``tokens_long`` has one row per token occurrence (doc, term); the vector
-    table is joined on the word and AQE broadcasts it when it is small."""
-    j = tokens_long.join(vectors.select(F.col(word).alias("term"), F.col(vec).alias("__v")), "term")
-    wt = weight if weight is not None else F.lit(1.0)
-    j = j.select(doc, wt.alias("__wt"), F.posexplode("__v").alias("dim", "__x"))
-    g = j.groupBy(doc, "dim").agg((F.sum(F.col("__x") * F.col("__wt")) / F.sum("__wt")).alias("value"))
-    return g
+    ``tokens_long`` has one row per token occurrence (doc, term[, weight
+    columns]). Occurrences are first counted per (doc, term) with map-side
+    partial aggregation, so the join with the vector table moves one row per
+    distinct term of a document, not one per token; AQE broadcasts the
+    vector table when it is small."""
+    w = weight if weight is not None else F.lit(1.0)
+    counted = tokens_long.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("__c"), F.first(w).alias("__w"))
+    j = counted.join(vectors.select(F.col(word).alias("term"), F.col(vec).alias("__v")), "term")
+    j = j.select(doc, (F.col("__c") * F.col("__w")).alias("__wt"), F.posexplode("__v").alias("dim", "__x"))
+    return j.groupBy(doc, "dim").agg((F.sum(F.col("__x") * F.col("__wt")) / F.sum("__wt")).alias("value"))
 
 
 def one_hot(c: str, domain: Sequence[str], prefix: str | None = None) -> list[Column]:
