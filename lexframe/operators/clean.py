@@ -59,12 +59,17 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 
 def cohort_filter(df: DataFrame, court: str = "court_type", lang: str = "procedure_lang", year: str = "year",
                   order: str = "order_text", court_value: str = "T", lang_value: str = "en",
-                  first_year: int = 2000, end_year: int = 2025) -> DataFrame:
-    """One court, one language, year range, order present."""
-    return df.filter(
-        (F.col(court) == court_value) & (F.col(lang) == lang_value)
-        & (F.col(year) >= first_year) & (F.col(year) < end_year) & F.col(order).isNotNull()
-    )
+                  first_year: int = 2000, end_year: int = 2025, date: str | None = None) -> DataFrame:
+    """One court, one language, year range, order present. With the
+    ``date`` column the year range is also stated as a date range, which
+    parquet can push down (row-group skipping); ``year(date)`` cannot."""
+    cond = ((F.col(court) == court_value) & (F.col(lang) == lang_value)
+            & (F.col(year) >= first_year) & (F.col(year) < end_year) & F.col(order).isNotNull())
+    if date is not None:
+        dt = df.schema[date].dataType.simpleString()
+        cond = cond & (F.col(date) >= F.lit(f"{first_year}-01-01 00:00:00").cast(dt)) \
+            & (F.col(date) < F.lit(f"{end_year}-01-01 00:00:00").cast(dt))
+    return df.filter(cond)
 
 
 def dedup_keep_last(df: DataFrame, key: str, title: str, seq: str, min_key_len: int = 20) -> DataFrame:

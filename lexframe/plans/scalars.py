@@ -86,7 +86,8 @@ WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND year(o_orderdate)
 def cohort_filter(spark, sf):
     o = t(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     c = C.cohort_filter(o, court="o_orderstatus", lang="o_orderpriority", year="year", order="o_totalprice",
-                        court_value="F", lang_value="1-URGENT", first_year=1995, end_year=2000)
+                        court_value="F", lang_value="1-URGENT", first_year=1995, end_year=2000,
+                        date="o_orderdate")
     return c.select("o_orderkey", "year")
 
 
