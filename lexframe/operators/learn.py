@@ -138,6 +138,16 @@ def cross_validate(train: DataFrame, algo: str, grid: dict, draws: int, fold_col
     return draws_[best], float(scores[best]), model.bestModel
 
 
+def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
+    """Partitions sized to the data for iterative optimisers: every
+    iteration is a job over all partitions, each shipping a
+    feature-dimension gradient, so a small training set in many
+    partitions pays that cost many times. Large sets keep ~100k rows per
+    partition (coalesce: no shuffle)."""
+    want = max(1, -(-n_rows // rows_per_partition))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     """Text vector + auxiliary columns into one feature vector."""
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)

@@ -37,8 +37,8 @@ def _fit_eval(spark, sf, algo: str, params: dict, input_representation: str = "T
     train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
     feats = L.text_features(train, TOKENS, "features", min_df=2, use_idf=input_representation == "TF-IDF")
     # the training vectors feed every optimiser iteration: keep them cached
-    tr, te = feats.transform(train).persist(), feats.transform(test)
-    n_train = tr.count()
+    n_train = train.count()
+    tr, te = L.right_size(feats.transform(train), n_train).persist(), feats.transform(test)
     model = L.estimator(algo, params, n_train).fit(tr)
     m = L.evaluate(model.transform(te))
     return m.select(F.lit(algo).alias("algo"), F.lit(input_representation).alias("input_representation"),
@@ -102,7 +102,7 @@ def random_search(spark, sf):
     c = cut_lineage(S.stratified_folds(text_cases(spark, sf), "label", "doc_id", 3))
     train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
     feats = L.text_features(train, TOKENS, "features", min_df=2)
-    tr = feats.transform(train).persist()
+    tr = L.right_size(feats.transform(train), train.count()).persist()
     best, cv_f1, model = L.cross_validate(tr, "LogisticRegression", L.GRIDS["LogisticRegression"], draws=10)
     m = L.evaluate(model.transform(feats.transform(test)))
     params = F.create_map(*[F.lit(x) for k, v in sorted(best.items()) for x in (k, str(v))])
@@ -132,7 +132,8 @@ def fit_embedding(spark, sf):
     train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
     sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
     n = train.count()
-    model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(sc.transform(train))
+    model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(
+        L.right_size(sc.transform(train), n).persist())
     m = L.evaluate(model.transform(sc.transform(test)))
     return m.select(F.lit("LogisticRegression").alias("algo"), F.lit("word2vec").alias("embedding"), "f1", "mcc", "auc")
 
@@ -150,7 +151,7 @@ def fused_classifier(spark, sf):
     ohe = enc.fit(tr0)
     hint = VectorSizeHint(inputCol="emb", size=64, handleInvalid="error")
     prep = lambda df: L.assemble(hint.transform(ohe.transform(idx.transform(df))), ["emb", "lang_v"])
-    tr = prep(train).persist()
+    tr = L.right_size(prep(train), train.count()).persist()
     width = len(tr.select("features").first()["features"])
     model = L.estimator("MLP", {"layers": [width, 256, 2], "max_iter": 100}, 0).fit(tr)
     m = L.evaluate(model.transform(prep(test)))
@@ -165,7 +166,7 @@ def feature_importance(spark, sf):
     train = c.filter(F.col("split") == "train")
     feats = L.text_features(train, TOKENS, "features", min_df=5, use_idf=False)
     model = L.estimator("RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": 10},
-                        0).fit(feats.transform(train).persist())
+                        0).fit(L.right_size(feats.transform(train), train.count()).persist())
     vocab = feats.stages[0].vocabulary
     imp = model.featureImportances
     pairs = [(vocab[i], float(v)) for i, v in zip(imp.indices, imp.values)]
@@ -233,9 +234,10 @@ def refit_from_record(spark, sf):
     estimator from the record's parameter map and refit on all training
     rows."""
     c = cut_lineage(S.split_random(order_cases(spark, sf), "label", "o_orderkey", 0.2))
-    train = order_features(c.filter(F.col("split") == "train")).persist()
-    test = order_features(c.filter(F.col("split") == "test"))
+    train = order_features(c.filter(F.col("split") == "train"))
     n = train.count()
+    train = L.right_size(train, n).persist()
+    test = order_features(c.filter(F.col("split") == "test"))
     recs = []
     for params in L.sample_grid({"C": [0.1, 10], "max_iter": [50, 100], "penalty": ["l2"]}, 4):
         m = L.evaluate(L.estimator("LogisticRegression", params, n).fit(train).transform(test)).first()
@@ -257,9 +259,10 @@ def sliding_window_eval(spark, sf):
     out = None
     for ty in TEST_YEARS:
         w = m.filter(F.col("test_year") == ty)
-        train = order_features(w.filter(F.col("role") == "train")).persist()
-        test = order_features(w.filter(F.col("role") == "test"))
+        train = order_features(w.filter(F.col("role") == "train"))
         n = train.count()
+        train = L.right_size(train, n).persist()
+        test = order_features(w.filter(F.col("role") == "test"))
         if n == 0:
             continue
         model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(train)
