@@ -42,6 +42,7 @@ GRIDS = {
 }
 TEXT_GRID = {"min_df": [2, 5, 10], "norm": [None, "l2"]}
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper / unlimited depths map here
+TOL = 1e-4  # scikit-learn's default stopping tolerance for both linear models
 
 
 def text_features(train: DataFrame, tokens: str, out: str = "text_vec", min_df: int = 2, use_idf: bool = True,
@@ -68,12 +69,13 @@ def estimator(algo: str, params: dict, n_train: int, features: str = "features",
     p = dict(params)
     if algo == "LinearSVC":
         c = float(p.get("C", 1.0))
-        return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_train, 1)), maxIter=100)
+        return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_train, 1)), maxIter=100,
+                         tol=TOL)
     if algo == "LogisticRegression":
         c = float(p.get("C", 1.0))
         reg = 0.0 if p.get("penalty") == "none" else 1.0 / (c * max(n_train, 1))
         return LogisticRegression(featuresCol=features, labelCol=label, regParam=reg, elasticNetParam=0.0,
-                                  maxIter=int(p.get("max_iter", 100)))
+                                  maxIter=int(p.get("max_iter", 100)), tol=TOL)
     if algo == "RandomForest":
         depth = p.get("max_depth")
         depth = MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
