@@ -94,6 +94,16 @@ def raw_words(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(WORD_RUN), 0)
 
 
+def kept_token_pattern(numbers: bool = False) -> str:
+    """One regex that extracts exactly the kept tokens: maximal letter/digit
+    runs that are all letters (2+ letters, or the single letters a / i), or,
+    with ``numbers``, all digits (2+)."""
+    alts = [r"\p{L}{2,}", "[" + "".join(SINGLE_LETTERS) + "]"]
+    if numbers:
+        alts.append(r"\p{Nd}{2,}")
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(alts) + r")(?![\p{L}\p{N}])"
+
+
 def clean_tokens(
     c: str | Column,
     stopwords: bool = False,
@@ -103,22 +113,15 @@ def clean_tokens(
     """Alphabetic lower-case tokens (T1) with the three options T2-T4.
 
     Single-letter tokens survive only for ``a`` and ``i``; stop words are
-    tested on the surface form, lemmas replace the kept token.
+    tested on the surface form, lemmas replace the kept token. The token
+    rule itself is one regular expression (no per-token lambda), so the
+    default path stays inside whole-stage codegen.
     """
-    words = raw_words(c)
-    stop = F.array(*[F.lit(w) for w in english_stop_words()]) if stopwords else None
-    single = F.array(*[F.lit(w) for w in SINGLE_LETTERS])
-
-    def keep(t: Column) -> Column:
-        kind = t.rlike(ALPHA)
-        if numbers:
-            kind = kind | t.rlike(DIGITS)
-        cond = kind & ((F.length(t) > 1) | F.array_contains(single, t))
-        if stop is not None:
-            cond = cond & ~F.array_contains(stop, t)
-        return cond
-
-    kept = F.filter(words, keep)
+    text = F.lower(F.coalesce(col(c), F.lit("")))
+    kept = F.regexp_extract_all(text, F.lit(kept_token_pattern(numbers)), 0)
+    if stopwords:
+        stop = F.array(*[F.lit(w) for w in english_stop_words()])
+        kept = F.filter(kept, lambda t: ~F.array_contains(stop, t))
     if lemmatise:
         m = lemma_map()
         kept = F.transform(kept, lambda t: F.coalesce(F.element_at(m, t), t))
