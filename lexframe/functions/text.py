@@ -154,16 +154,14 @@ def sentences(c: str | Column) -> Column:
 def ngrams(tokens: str | Column, n_min: int, n_max: int) -> Column:
     """Word n-grams for every n in [n_min, n_max], joined by spaces.
 
-    Pass a token *column* (project the tokens first): the lambda reads the
-    array once per gram, so an inline token expression would be recomputed
-    per gram."""
-    t = col(tokens)
+    The tokens (which hold no spaces) are joined once; the n-grams of each
+    order are then the overlapping matches of one zero-width look-ahead
+    regex anchored at every word start, so no per-gram lambda runs."""
+    joined = F.array_join(col(tokens), " ")
     parts = []
     for n in range(n_min, n_max + 1):
-        idx = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(0)))
-        grams = F.transform(idx, lambda i: F.array_join(F.slice(t, i, n), " "))
-        # sequence(1, 0) counts down; drop those phantom grams.
-        parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
+        words = "(?:[^ ]+ ){%d}[^ ]+" % (n - 1) if n > 1 else "[^ ]+"
+        parts.append(F.regexp_extract_all(joined, F.lit("(?<![^ ])(?=(" + words + "))"), 1))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
