@@ -45,10 +45,20 @@ MAX_TREE_DEPTH = 30  # Spark's limit; deeper / unlimited depths map here
 TOL = 1e-4  # scikit-learn's default stopping tolerance for both linear models
 
 
+def vocabulary_size(train: DataFrame, tokens: str, min_df: int) -> int:
+    """Exact number of terms in at least ``min_df`` training documents (one
+    distributed count), so the vectoriser keeps every such term."""
+    terms = train.select(F.explode_outer(F.array_distinct(tokens)).alias("t")).filter(F.col("t").isNotNull())
+    return max(1, terms.groupBy("t").count().filter(F.col("count") >= min_df).count())
+
+
 def text_features(train: DataFrame, tokens: str, out: str = "text_vec", min_df: int = 2, use_idf: bool = True,
-                  norm: str | None = "l2", vocab_size: int = 1 << 18) -> PipelineModel:
-    """Fit the sparse text featuriser on ``train`` only (no test leakage)."""
-    cv = CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=float(min_df), vocabSize=vocab_size).fit(train)
+                  norm: str | None = "l2", vocab_size: int | None = None) -> PipelineModel:
+    """Fit the sparse text featuriser on ``train`` only (no test leakage).
+    The vocabulary is every term with document frequency >= ``min_df``
+    (no top-k cap unless ``vocab_size`` is given)."""
+    size = vocab_size or vocabulary_size(train, tokens, min_df)
+    cv = CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=float(min_df), vocabSize=size).fit(train)
     stages = [cv]
     col = "__tf"
     if use_idf:
