@@ -26,10 +26,10 @@ TOKENS = "tokens"
 
 def text_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents, stratified 80/20 split by label (W7), tokens once."""
-    d = docs(spark, sf).join(t(spark, sf, "labels"), "doc_id")
-    d = d.select("doc_id", "lang", F.col("quality").cast("double").alias("label"),
-                 TX.clean_tokens(F.col("text")).alias(TOKENS))
-    return S.split_random(d, "label", "doc_id", 0.2)
+    # tokens are computed map-side, so the label join moves tokens, not text
+    d = docs(spark, sf).select("doc_id", "lang", TX.clean_tokens(F.col("text")).alias(TOKENS))
+    lab = t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return S.split_random(d.join(lab, "doc_id"), "label", "doc_id", 0.2)
 
 
 def _fit_eval(spark, sf, algo: str, params: dict, input_representation: str = "TF-IDF") -> DataFrame:

@@ -19,14 +19,6 @@ from .sqlbits import clean_tokens_sql, q, tfidf_sql
 OUTCOMES = ["Affirmed", "Reversed", "Unknown"]
 
 
-def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """documents left-joined to labels; outcome Affirmed/Reversed/Unknown."""
-    d = docs(spark, sf).select("doc_id", "text", "lang", "source")
-    lab = t(spark, sf, "labels").select("doc_id", "quality")
-    j = d.join(lab, "doc_id", "left")
-    return j.withColumn("outcome", outcome_of_quality())
-
-
 def outcome_of_quality():
     return F.when(F.col("quality") == 1, "Affirmed").when(F.col("quality") == 0, "Reversed").otherwise("Unknown")
 

@@ -11,7 +11,6 @@ from ..operators import sampling as S
 from ..operators.clean import dedup_keep_last
 from ..operators.reports import best_per_group
 from .catalog import query, t
-from .text import labelled_documents
 
 H = "md5('42:' || CAST({k} AS VARCHAR))"
 HK = H.format(k="o_orderkey")
@@ -41,8 +40,10 @@ SELECT doc_id, k AS text_key, quality
 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id DESC) AS rn FROM f) WHERE rn = 1
 """)
 def dedup_keep_last_q(spark, sf):
-    j = labelled_documents(spark, sf).select("doc_id", "quality", F.md5("text").alias("text_key"))
-    return dedup_keep_last(j, key="text_key", title="quality", seq="doc_id")
+    # hash the text map-side: the label join and the dedup move no text
+    d = t(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_key"))
+    j = d.join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return dedup_keep_last(j.select("doc_id", "quality", "text_key"), key="text_key", title="quality", seq="doc_id")
 
 
 @query("latest_best_record", """
