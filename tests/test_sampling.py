@@ -94,3 +94,14 @@ def test_window_membership_and_balance(spark):
 
 def test_ceil_rule():
     assert S.ceil_frac(3648 * 2, 0.2) == math.ceil(1459.2)
+
+
+def test_best_per_group_matches_window(spark):
+    from lexframe.operators.reports import best_per_group
+
+    rows = [(i % 7, float(i % 5), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, score double, id int")
+    fast = best_per_group(df, ["g"], [-F.col("score"), F.col("id")])
+    w = Window.partitionBy("g").orderBy(F.col("score").desc(), "id")
+    slow = df.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    assert sorted(map(tuple, fast.select("g", "score", "id").collect())) == sorted(map(tuple, slow.collect()))

@@ -56,3 +56,13 @@ def test_vectors_text_and_mode(spark):
     df = spark.createDataFrame([("d/X_Train_1_pf.parquet/part-0",), ("d/X_test_2_both.parquet",), ("d/x_all.parquet/p",)],
                                "p string")
     assert [r[0] for r in df.select(FS.infer_case_mode(F.col("p"))).collect()] == ["pf", "both", "unknown"]
+
+
+def test_results_store_json_documents(spark):
+    schema = T.StructType([T.StructField("algo", T.StringType()), T.StructField("f1", T.DoubleType())])
+    path = scratch_path(spark, "store-docs")
+    docs = ['[{"algo": "a", "f1": 0.5}, {"algo": "b", "f1": 0.7}]', '{"algo": "c", "f1": 0.1}', '[{"algo": ']
+    for i, d in enumerate(docs):
+        spark.createDataFrame([(d,)], "value string").coalesce(1).write.text(f"{path}/part{i}")
+    got = sorted((r.algo, r.f1) for r in FS.load_results(spark, f"{path}/*", schema, multi_line=True).collect())
+    assert got == [("a", 0.5), ("b", 0.7), ("c", 0.1)]
