@@ -277,13 +277,12 @@ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY
 SELECT printf('%d. [%s] case %d (%d)', row_number() OVER (ORDER BY {HK}, o_orderkey), outcome, o_orderkey, year) AS line FROM s
 """)
 def sample_report(spark, sf):
-    """Numbered report of the 10+10 validation sample, written as text. The
-    sample is bounded (n = 20), so numbering it in one task is fine."""
+    """Numbered report of the 10+10 validation sample, written as text."""
     s = S.validation_sample(cases(spark, sf), "outcome", "o_orderkey", 20)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(S.hash_order("o_orderkey"), "o_orderkey")
-    lines = s.select(F.format_string("%d. [%s] case %d (%d)", F.row_number().over(w), "outcome", "o_orderkey",
+    # numbered in seeded hash order by the range-partitioned position (no
+    # single-partition window, whatever the sample size)
+    p = S.global_position(s, [S.hash_order("o_orderkey").asc(), F.col("o_orderkey").asc()], "pos")
+    lines = p.select(F.format_string("%d. [%s] case %d (%d)", (F.col("pos") + 1).cast("int"), "outcome", "o_orderkey",
                                      "year").alias("line"))
     path = scratch_path(spark, "sample-report")
     FS.write_report(lines, path)
