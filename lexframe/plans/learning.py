@@ -40,6 +40,7 @@ def _fit_eval(spark, sf, algo: str, params: dict, input_representation: str = "T
     n_train = train.count()
     tr, te = L.right_size(feats.transform(train), n_train).persist(), feats.transform(test)
     model = L.estimator(algo, params, n_train).fit(tr)
+    tr.unpersist()  # the returned metrics need the model, not the cached rows
     m = L.evaluate(model.transform(te))
     return m.select(F.lit(algo).alias("algo"), F.lit(input_representation).alias("input_representation"),
                     F.lit(n_train).alias("train_size"), F.lit(te.count()).alias("test_size"),
@@ -104,6 +105,7 @@ def random_search(spark, sf):
     feats = L.text_features(train, TOKENS, "features", min_df=2)
     tr = L.right_size(feats.transform(train), train.count()).persist()
     best, cv_f1, model = L.cross_validate(tr, "LogisticRegression", L.GRIDS["LogisticRegression"], draws=10)
+    tr.unpersist()
     m = L.evaluate(model.transform(feats.transform(test)))
     params = F.create_map(*[F.lit(x) for k, v in sorted(best.items()) for x in (k, str(v))])
     return m.select(F.lit("LogisticRegression").alias("algo"), params.alias("best_params"),
@@ -154,6 +156,7 @@ def fused_classifier(spark, sf):
     tr = L.right_size(prep(train), train.count()).persist()
     width = len(tr.select("features").first()["features"])
     model = L.estimator("MLP", {"layers": [width, 256, 2], "max_iter": 100}, 0).fit(tr)
+    tr.unpersist()
     m = L.evaluate(model.transform(prep(test)))
     return m.select(F.lit("MLP").alias("algo"), F.lit(width).alias("input_width"), "f1", "mcc", "auc")
 
@@ -266,6 +269,7 @@ def sliding_window_eval(spark, sf):
         if n == 0:
             continue
         model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(train)
+        train.unpersist()
         r = L.evaluate(model.transform(test)).select(F.lit(ty).alias("test_year"), F.lit(n).alias("train_size"),
                                                      "f1", "mcc", "auc")
         out = r if out is None else out.unionByName(r)
