@@ -15,7 +15,6 @@ So matching is per-row, vectorised JVM code: no UDF, no shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -234,5 +233,5 @@ def symbol_string(pack: RulePack, text: Column) -> Column:
 
 __all__ = [
     "RulePack", "Lit", "Gap", "exact", "fuzzy", "lemma", "gap", "ANY",
-    "classify", "classify_combined", "symbol_string", "match_tokens", "fuzzy_bound", "combinations",
+    "classify", "classify_combined", "symbol_string", "match_tokens", "fuzzy_bound",
 ]

@@ -6,7 +6,7 @@ the linear term contributions, which have SQL oracles."""
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from ..operators.features import mean_vectors, tfidf_long
 from ..operators.reports import best_per_group, top_k
 from ..session import cut_lineage
 from .catalog import docs, query, t
-from .sqlbits import clean_tokens_sql, q
+from .sqlbits import clean_tokens_sql
 from .text import word_vectors
 from .windows import TEST_YEARS
 
@@ -275,5 +275,3 @@ def sliding_window_eval(spark, sf):
         out = r if out is None else out.unionByName(r)
     return out
 
-
-__all__ = ["q", "vector_to_array"]

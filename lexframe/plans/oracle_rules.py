@@ -7,7 +7,7 @@ regular expression over these fixed-width records.
 
 from __future__ import annotations
 
-from ..functions.rules import Gap, Lit, RulePack, fuzzy_bound
+from ..functions.rules import Gap, RulePack, fuzzy_bound
 
 TOKENS_SQL = (
     "regexp_extract_all(lower(regexp_replace(coalesce({text}, ''), '<[^>]+>', ' ', 'g')), "
@@ -65,4 +65,4 @@ def combined_sql(pack: RulePack, sym: str, both: str, pair: tuple[str, str], ord
     return f"CASE {whens} ELSE {_lit_sql(pack.default)} END"
 
 
-__all__ = ["flags_sql", "classify_sql", "combined_sql", "hit_sql", "TOKENS_SQL", "Lit"]
+__all__ = ["flags_sql", "classify_sql", "combined_sql", "hit_sql", "TOKENS_SQL"]
