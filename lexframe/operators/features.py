@@ -26,10 +26,11 @@ def term_frequencies(df: DataFrame, doc: str, tokens: str) -> DataFrame:
 def document_frequencies(tf: DataFrame, doc: str, min_df: int = 1) -> DataFrame:
     """(term, df, cf) for terms in at least ``min_df`` documents.
 
-    Reading ``tf`` as well (collection frequency) keeps this branch's input
-    identical to the tf branch, so the tokenising scan and its shuffle are
-    computed once and reused (ReusedExchange) rather than twice."""
-    return (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    ``df`` counts the documents where the term occurs (``tf > 0``, the same
+    number as count(*)): reading ``tf`` keeps this branch's input identical
+    to the tf branch after column pruning, so the tokenising scan and its
+    shuffle run once and are reused (ReusedExchange) instead of twice."""
+    return (tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf"))
             .filter(F.col("df") >= min_df))
 
 
