@@ -6,9 +6,7 @@ they run inside whole-stage codegen and work on batch and streaming frames.
 
 from __future__ import annotations
 
-import glob
 import os
-import zipfile
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -54,13 +52,9 @@ def list_to_string(c: str | Column, sep: str = " ") -> Column:
 
 @lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop-word list, read from the MLlib jar on disk."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
+    """Spark ML's default English stop words, shipped as package data."""
+    with open(os.path.join(os.path.dirname(__file__), "english_stop_words.txt"), encoding="utf-8") as f:
+        return tuple(f.read().split())
 
 
 # The dictionary lemma table. The four "refuse" forms are the

@@ -38,7 +38,7 @@ def value_counts(spark, sf):
     return R.value_counts(t(spark, sf, "orders"), "o_orderpriority")
 
 
-@query("outcome_counts", f"""
+@query("outcome_counts", lambda: f"""
 WITH {OUT_SQL}
 SELECT year, count(*) AS total, count(*) FILTER (WHERE outcome = 'Affirmed') AS n_affirmed,
   count(*) FILTER (WHERE outcome = 'Reversed') AS n_reversed, count(*) FILTER (WHERE outcome = 'Unknown') AS n_unknown
@@ -60,7 +60,7 @@ def count_by_year(spark, sf):
         F.count("l_returnflag").alias("n_flag"), F.count_distinct("l_orderkey").alias("n_orders"))
 
 
-@query("explode_counts", f"""
+@query("explode_counts", lambda: f"""
 WITH {_PROV_SQL.strip()}
 SELECT item, count(*) AS n FROM (SELECT unnest(articles) AS item FROM art) GROUP BY item
 """)
@@ -68,7 +68,7 @@ def explode_counts(spark, sf):
     return R.explode_counts(articles_frame(spark, sf), "articles")
 
 
-@query("combination_counts", f"""
+@query("combination_counts", lambda: f"""
 WITH {_PROV_SQL.strip()}
 SELECT array_to_string(list_sort(articles), ' + ') AS combination, count(*) AS n FROM art GROUP BY 1
 """)
@@ -102,7 +102,7 @@ def crosstab_percent(spark, sf):
     return R.row_percent(_year_crosstab(spark, sf), "year", OUTCOMES)
 
 
-@query("pivot_category_outcome", f"""
+@query("pivot_category_outcome", lambda: f"""
 WITH {OUT_SQL},
 c AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'Opposition Division' ELSE 'Patent Refusal' END AS category,
              outcome FROM oo),
@@ -117,7 +117,7 @@ def pivot_category_outcome(spark, sf):
     return R.row_percent(R.crosstab(o, "category", "outcome", OUTCOMES), "category", OUTCOMES)
 
 
-@query("pivot_exploded_outcome", f"""
+@query("pivot_exploded_outcome", lambda: f"""
 WITH {_PROV_SQL.strip()}, {OUT_SQL},
 x AS (SELECT unnest(art.articles) AS article, oo.outcome FROM art JOIN oo ON art.o_orderkey = oo.o_orderkey),
 ct AS (SELECT article, count(*) FILTER (WHERE outcome = 'Affirmed') AS a, count(*) FILTER (WHERE outcome = 'Reversed') AS r,
@@ -131,7 +131,7 @@ def pivot_exploded_outcome(spark, sf):
     return R.row_percent(R.crosstab(x, "article", "outcome", OUTCOMES), "article", OUTCOMES)
 
 
-@query("mode_value", f"""
+@query("mode_value", lambda: f"""
 WITH {OUT_SQL},
 c AS (SELECT year, o_orderpriority, count(*) AS n FROM oo GROUP BY 1, 2)
 SELECT year, o_orderpriority AS mode, n FROM (
@@ -156,7 +156,7 @@ PRED_SQL = """p AS (SELECT d.doc_id, d.lang, l.quality AS label, CAST(d.n_chars
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-@query("confusion_matrix", f"""
+@query("confusion_matrix", lambda: f"""
 WITH {PRED_SQL},
 x AS (SELECT CASE WHEN label = 1 THEN 'good' ELSE 'bad' END AS real, CASE WHEN pred_len = 1 THEN 'good' ELSE 'bad' END AS pred FROM p)
 SELECT real, count(*) FILTER (WHERE pred = 'bad') AS bad, count(*) FILTER (WHERE pred = 'good') AS good FROM x GROUP BY real
@@ -167,7 +167,7 @@ def confusion_matrix(spark, sf):
     return M.confusion_matrix(p, "real", "pred", ["good", "bad"])
 
 
-@query("validation_summary", f"""
+@query("validation_summary", lambda: f"""
 WITH {PRED_SQL},
 x AS (SELECT 'length' AS matcher, label, pred_len AS pred FROM p UNION ALL SELECT 'source', label, pred_src FROM p)
 SELECT matcher, count(*) AS n, count(*) FILTER (WHERE label = pred) AS correct,
@@ -180,7 +180,7 @@ def validation_summary(spark, sf):
     return M.accuracy_summary(x, "label", "pred", ["matcher"])
 
 
-@query("binary_metrics", f"""
+@query("binary_metrics", lambda: f"""
 WITH {PRED_SQL},
 c AS (SELECT lang, count(*) FILTER (WHERE label = 1 AND pred_len = 1)::DOUBLE AS tp,
         count(*) FILTER (WHERE label = 0 AND pred_len = 1)::DOUBLE AS fp,
@@ -201,7 +201,7 @@ def binary_metrics(spark, sf):
                     "tp", "fp", "fn", "tn")
 
 
-@query("roc_auc", f"""
+@query("roc_auc", lambda: f"""
 WITH {PRED_SQL},
 r AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY score) AS lo,
              count(*) OVER (PARTITION BY lang, score) AS ties FROM p),
@@ -245,7 +245,7 @@ def latest_records(spark, sf) -> DataFrame:
                             [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("f1"), F.col("event_id")])
 
 
-@query("pivot_results", f"""
+@query("pivot_results", lambda: f"""
 WITH {REC_SQL}
 SELECT case_mode, experiment, algo,
   {', '.join(f'''round(max(f1) FILTER (WHERE feature = '{f}'), 4) AS "{f} | F1", round(max(mcc) FILTER (WHERE feature = '{f}'), 4) AS "{f} | MCC"''' for f in FEATURES)}
@@ -261,7 +261,7 @@ def pivot_results(spark, sf):
         F.round(F.col(f"{f}_{m}"), 4).alias(f"{f} | {m.upper()}") for f in FEATURES for m in ("f1", "mcc")])
 
 
-@query("pivot_heatmap", f"""
+@query("pivot_heatmap", lambda: f"""
 WITH {REC_SQL}
 SELECT algo, CASE algo {' '.join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(ALGO_ORDER))} END AS row_order,
   {', '.join(f'''round(max(f1) FILTER (WHERE feature = '{f}'), 4) AS "{f}"''' for f in FEATURES)}
@@ -274,7 +274,7 @@ def pivot_heatmap(spark, sf):
     return p.select("algo", pos.cast("int").alias("row_order"), *[F.round(f, 4).alias(f) for f in FEATURES])
 
 
-@query("best_feature", f"""
+@query("best_feature", lambda: f"""
 WITH {REC_SQL},
 m AS (SELECT case_mode, feature, avg(f1) AS mean_f1 FROM rec GROUP BY 1, 2)
 SELECT case_mode, feature AS best_feature, round(mean_f1, 6) AS mean_f1 FROM (
@@ -307,7 +307,7 @@ def split_distribution(spark, sf):
 
 
 # -- K2 / K3 ----------------------------------------------------------------------------
-@query("top_terms", f"""
+@query("top_terms", lambda: f"""
 WITH x AS (SELECT DISTINCT doc_id, unnest({clean_tokens_sql('text', stopwords=True)}) AS term FROM documents)
 SELECT term, count(*) AS df FROM x GROUP BY term ORDER BY df DESC, term LIMIT 20
 """)
@@ -318,7 +318,7 @@ def top_terms(spark, sf):
     return R.top_k(v, [F.col("df").desc(), F.col("term").asc()], 20)
 
 
-@query("error_examples", f"""
+@query("error_examples", lambda: f"""
 WITH {PRED_SQL},
 b AS (SELECT doc_id, CASE WHEN label <> pred_len THEN 'misclassified' WHEN label = 1 THEN 'correct_affirmed' ELSE 'correct' END AS bucket
       FROM p)
@@ -334,7 +334,7 @@ def error_examples(spark, sf):
 
 
 # -- P31 ----------------------------------------------------------------------------------
-@query("flatten_results", f"""
+@query("flatten_results", lambda: f"""
 WITH {REC_SQL}
 SELECT event_id, case_mode, experiment, algo, feature, round(f1, 6) AS f1, round(mcc, 6) AS mcc,
   CASE WHEN f1 >= 0.1 THEN round(f1 * 0.9, 6) END AS auc,

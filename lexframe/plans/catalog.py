@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register a query. ``sql`` may be a function: it is then built only when
+    ``oracle_sql()`` asks, so one bad oracle cannot take the registry down."""
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -33,20 +35,18 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields
-    fewer input splits than cores (a few large row groups). A no-op for a
-    large table, whose scan already has many splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def docs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
-    """``documents`` (optionally filtered first) spread over the cores, for
-    the per-row text work (rules, tokens)."""
+    """``documents`` (optionally filtered first). Splits are the scan's own
+    (``spark.sql.files.maxPartitionBytes``): texts are never shuffled to
+    spread them."""
     d = t(spark, sf_dir, "documents")
-    return spread(d.filter(where) if where is not None else d)
+    return d.filter(where) if where is not None else d
 
 
 def load_all() -> None:
     from . import aggregates, ingest, joins, learning, scalars, text, windows  # noqa: F401
+
+
+def oracle_text(name: str) -> str:
+    sql = ORACLE[name]
+    return sql() if callable(sql) else sql

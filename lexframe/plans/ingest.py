@@ -33,7 +33,7 @@ def markup_attribute(spark, sf):
                     MK.attribute("html", "body", "class").alias("body_class"))
 
 
-@query("markup_tag_text", f"""
+@query("markup_tag_text", lambda: f"""
 WITH x AS (SELECT page_id, list_filter(regexp_extract_all(html, '{P_OPEN}([^<]*)', 1), lambda s: s <> '') AS items FROM pages)
 SELECT page_id, len(items) AS n_items, md5(array_to_string(items, '|')) AS digest FROM x
 """)
@@ -42,7 +42,7 @@ def markup_tag_text(spark, sf):
     return p.select("page_id", F.size("items").alias("n_items"), F.md5(F.array_join("items", "|")).alias("digest"))
 
 
-@query("markup_nested_text", f"""
+@query("markup_nested_text", lambda: f"""
 WITH b AS (SELECT page_id, regexp_extract_all(html, '(?s)<article(?:\\s[^>]*)?>(.*?)</article>', 1) AS blocks,
                   regexp_extract_all(html, '<article((?:\\s[^>]*)?)>', 1) AS opens FROM pages),
 x AS (SELECT page_id, flatten(list_transform(blocks, lambda blk:
@@ -115,7 +115,7 @@ DECISION_SCHEMA = T.StructType([
 ])
 
 
-@query("xml_roundtrip", f"""
+@query("xml_roundtrip", lambda: f"""
 WITH {_PROV_SQL.strip()}
 SELECT o.o_orderkey, o.o_orderstatus, o.o_orderpriority, o.o_totalprice, strftime(o.o_orderdate, '%Y-%m-%d') AS decided,
        coalesce(array_to_string(a.provisions, '|'), '') AS provisions
@@ -139,7 +139,7 @@ def xml_roundtrip(spark, sf):
                     F.coalesce(F.array_join("provisions.provision", "|"), F.lit("")).alias("provisions"))
 
 
-@query("parquet_roundtrip", f"""
+@query("parquet_roundtrip", lambda: f"""
 WITH {CASES_SQL}
 SELECT o_orderkey, year, outcome FROM cases WHERE year >= 1999
 """)
@@ -181,7 +181,7 @@ def _records(spark, sf) -> DataFrame:
                     F.struct("f1", "mcc").alias("test_metrics"))
 
 
-@query("results_append", f"""
+@query("results_append", lambda: f"""
 WITH {REC_SQL}
 SELECT experiment, algo, count(*) AS n, round(sum(f1), 6) AS sum_f1 FROM rec GROUP BY 1, 2
 """)
@@ -195,7 +195,7 @@ def results_append(spark, sf):
     return back.groupBy("experiment", "algo").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f1"), 6).alias("sum_f1"))
 
 
-@query("results_load", f"""
+@query("results_load", lambda: f"""
 WITH {REC_SQL}
 SELECT case_mode, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(max(mcc), 6) AS max_mcc FROM rec GROUP BY 1
 """)
@@ -271,7 +271,7 @@ def infer_mode(spark, sf):
     return back.select("o_orderkey", FS.infer_case_mode(F.col("_metadata.file_path")).alias("case_mode"))
 
 
-@query("sample_report", f"""
+@query("sample_report", lambda: f"""
 WITH {CASES_SQL},
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {HK}, o_orderkey) AS rn FROM cases) WHERE rn <= 10)
 SELECT printf('%d. [%s] case %d (%d)', row_number() OVER (ORDER BY {HK}, o_orderkey), outcome, o_orderkey, year) AS line FROM s

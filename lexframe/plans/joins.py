@@ -15,7 +15,7 @@ EXPERIMENTS = ["1", "2"]
 CASE_MODES = ["pf", "op", "both"]
 
 
-@query("label_writeback", f"""
+@query("label_writeback", lambda: f"""
 WITH c AS (SELECT doc_id, text,
     {OR.classify_sql(RP.LICENCE, OR.flags_sql(RP.LICENCE, 'text'), RP.LICENCE_ORDER)} AS rule_class FROM documents),
 sub AS (SELECT doc_id,
@@ -61,7 +61,7 @@ def eval_key_case_mode():
                       F.when(F.col("opposition"), F.lit("both")).otherwise(F.lit("pf")))
 
 
-@query("resume_anti_join", f"""
+@query("resume_anti_join", lambda: f"""
 WITH {_PLAN_SQL},
 ex AS (SELECT event_type AS algo, CASE WHEN user_id % 2 = 0 THEN '1' ELSE '2' END AS experiment,
          coalesce(nullif(CASE WHEN value < 20 THEN '' WHEN value < 40 THEN NULL WHEN value < 60 THEN 'op' ELSE 'both' END, ''),

@@ -178,7 +178,7 @@ def feature_importance(spark, sf):
     return top_k(df, [F.col("importance").desc(), F.col("term").asc()], 20)
 
 
-@query("term_contributions", f"""
+@query("term_contributions", lambda: f"""
 WITH docs AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 toks AS (SELECT doc_id, unnest({clean_tokens_sql('text')}) AS term FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),

@@ -15,7 +15,7 @@ from .catalog import query, t
 LI_ITEMS = r'<li><a href="[^"]*">([^<]*)</a></li>'
 
 
-@query("list_to_string", f"""
+@query("list_to_string", lambda: f"""
 SELECT page_id, array_to_string(regexp_extract_all(html, '{LI_ITEMS}', 1), ' ') AS nav_text
 FROM pages
 """)
@@ -159,7 +159,7 @@ def articles_frame(spark, sf) -> DataFrame:
     return p.select("o_orderkey", "provisions", codes.alias("codes")).withColumn("articles", C.map_codes("codes"))
 
 
-@query("normalise_provisions", f"""
+@query("normalise_provisions", lambda: f"""
 WITH {_PROV_SQL.strip()}
 SELECT o_orderkey, array_to_string(provisions, '|') AS provisions, array_to_string(codes, '|') AS codes FROM art
 """)
@@ -169,7 +169,7 @@ def normalise_provisions(spark, sf):
                     F.array_join("codes", "|").alias("codes"))
 
 
-@query("map_codes", f"""
+@query("map_codes", lambda: f"""
 WITH {_PROV_SQL.strip()}
 SELECT o_orderkey, array_to_string(articles, '|') AS articles FROM art
 """)
@@ -178,7 +178,7 @@ def map_codes(spark, sf):
     return a.select("o_orderkey", F.array_join("articles", "|").alias("articles"))
 
 
-@query("array_exact_filter", f"""
+@query("array_exact_filter", lambda: f"""
 WITH {_PROV_SQL.strip()}
 SELECT o_orderkey FROM art WHERE articles = ['Inventive Step']
 """)
@@ -199,7 +199,7 @@ def keyword_lists(spark, sf) -> DataFrame:
     return g.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("s", lambda x: x["k"]).alias("keywords"))
 
 
-@query("keyword_exclude", f"""
+@query("keyword_exclude", lambda: f"""
 WITH k0 AS (
   SELECT l_orderkey AS o_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'Inventive step - auxiliary request'
         WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN 'Inventive Step - main request (no)'
@@ -228,7 +228,7 @@ def convert_reference(spark, sf):
     return r.withColumn("converted", C.convert_reference("reference"))
 
 
-@query("array_contains_filter", f"""
+@query("array_contains_filter", lambda: f"""
 SELECT page_id FROM pages
 WHERE len(list_filter(regexp_extract_all(html, '{LI_ITEMS}', 1), lambda x: contains(lower(x), 'the'))) > 0
 """)

@@ -70,7 +70,7 @@ query("rule_outcome_crosstab", _FLAG_SQL)(rule_outcome_crosstab)
 
 
 # -- T10 / T11: phrase rules, fuzzy tokens ---------------------------------
-@query("phrase_rules", f"""
+@query("phrase_rules", lambda: f"""
 SELECT doc_id,
   {' , '.join(f"{OR.hit_sql(RP.LICENCE, lab, 'sym')} AS hit_{lab}" for lab in RP.LICENCE_ORDER)}
 FROM (SELECT doc_id, {OR.flags_sql(RP.LICENCE, 'text')} AS sym FROM documents)
@@ -86,7 +86,7 @@ def phrase_rules(spark, sf):
 _FUZZY_WORDS = ["license", "appeal", "patent", "opponent", "appellant", "proprietor"]
 
 
-@query("fuzzy_tokens", f"""
+@query("fuzzy_tokens", lambda: f"""
 WITH toks AS (SELECT unnest({OR.TOKENS_SQL.format(text='text')}) AS tok FROM documents),
 lits AS (SELECT * FROM (VALUES {', '.join(f"({q(w)}, {fuzzy_bound(w)})" for w in _FUZZY_WORDS)}) v(literal, k))
 SELECT literal, tok AS token, count(*) AS n
@@ -106,7 +106,7 @@ def fuzzy_tokens(spark, sf):
 
 
 # -- T12 / T13 / T14 -----------------------------------------------------------
-@query("classify_priority", f"""
+@query("classify_priority", lambda: f"""
 SELECT doc_id,
   {OR.classify_sql(RP.CASE_TYPE, OR.flags_sql(RP.CASE_TYPE, 'text'), RP.CASE_TYPE_ORDER)} AS case_type,
   {OR.classify_sql(RP.LICENCE, OR.flags_sql(RP.LICENCE, 'text'), RP.LICENCE_ORDER)} AS licence_class
@@ -118,7 +118,7 @@ def classify_priority(spark, sf):
                     classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER).alias("licence_class"))
 
 
-@query("subclassify", f"""
+@query("subclassify", lambda: f"""
 WITH c AS (SELECT doc_id, text,
   {OR.classify_sql(RP.LICENCE, OR.flags_sql(RP.LICENCE, 'text'), RP.LICENCE_ORDER)} AS rule_class FROM documents
   WHERE lang = 'en')
@@ -137,7 +137,7 @@ def subclassify(spark, sf):
     return c.select("doc_id", "rule_class", sub.alias("appellant_type"))
 
 
-@query("extract_outcome", f"""
+@query("extract_outcome", lambda: f"""
 SELECT page_id,
   {OR.classify_sql(RP.OUTCOME, OR.flags_sql(RP.OUTCOME, 'html'), RP.OUTCOME_ORDER)} AS outcome
 FROM pages
@@ -169,7 +169,7 @@ for _name, _opts in [
     query(_name, _token_digest_sql(**_opts))(lambda spark, sf, _o=_opts: _token_digest(spark, sf, **_o))
 
 
-@query("model_text", f"""
+@query("model_text", lambda: f"""
 SELECT doc_id, md5(array_to_string({clean_tokens_sql('text', stopwords=True, lemmatise=True)}, ' ')) AS digest
 FROM documents
 """)
@@ -178,7 +178,7 @@ def model_text(spark, sf):
     return d.select("doc_id", F.md5(TX.model_text(F.col("text"))).alias("digest"))
 
 
-@query("truncate_pad", f"""
+@query("truncate_pad", lambda: f"""
 WITH x AS (SELECT doc_id, {clean_tokens_sql('text')} AS tok FROM documents),
 y AS (SELECT doc_id, tok[1:64] AS t FROM x)
 SELECT doc_id, len(t) AS n_real,
@@ -210,7 +210,7 @@ def sentences(spark, sf):
         F.md5(F.array_join(F.array_sort(F.collect_list("sentence")), "|")).alias("digest"))
 
 
-@query("corpus_stats", f"""
+@query("corpus_stats", lambda: f"""
 SELECT lang, count(*) AS n_docs, CAST(sum(len({clean_tokens_sql('text')})) AS BIGINT) AS n_tokens
 FROM documents GROUP BY lang
 """)
@@ -221,7 +221,7 @@ def corpus_stats(spark, sf):
 
 
 # -- T15-T17: n-grams, vocabulary, tf-idf ---------------------------------------
-@query("ngrams", f"""
+@query("ngrams", lambda: f"""
 WITH x AS (SELECT doc_id, {clean_tokens_sql('text')} AS tok FROM documents WHERE lang = 'en'),
 g AS (
   SELECT doc_id, n, array_to_string(tok[i:i + n - 1], ' ') AS gram
@@ -240,7 +240,7 @@ def ngrams(spark, sf):
                                    F.md5(F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("digest"))
 
 
-@query("min_df_vocab", f"""
+@query("min_df_vocab", lambda: f"""
 WITH x AS (SELECT DISTINCT doc_id, unnest({clean_tokens_sql('text')}) AS term FROM documents)
 SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 5
 """)
@@ -295,7 +295,7 @@ ranked AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_i
 wv AS (SELECT r.term, e.embedding FROM ranked r JOIN embeddings e ON r.term_id = e.vec_id)"""
 
 
-@query("doc_mean_embedding", f"""
+@query("doc_mean_embedding", lambda: f"""
 WITH {_WORDVEC_SQL},
 x AS (SELECT t.doc_id, unnest(wv.embedding) AS v, generate_subscripts(wv.embedding, 1) - 1 AS dim
       FROM toks t JOIN wv ON t.term = wv.term)
@@ -309,7 +309,7 @@ def doc_mean_embedding(spark, sf):
     return m.select("doc_id", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("doc_vectors_idf", f"""
+@query("doc_vectors_idf", lambda: f"""
 WITH {_WORDVEC_SQL},
 n AS (SELECT count(*) AS n FROM docs),
 idf AS (SELECT term, ln((1.0 + n.n) / (1.0 + df)) + 1.0 AS idf FROM voc CROSS JOIN n),

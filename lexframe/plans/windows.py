@@ -58,7 +58,7 @@ def latest_best_record(spark, sf):
     return best_per_group(e, ["user_id", "event_type"], order)
 
 
-@query("balanced_sample", f"""
+@query("balanced_sample", lambda: f"""
 WITH {CASES_SQL},
 c AS (SELECT year, outcome, count(*) AS n FROM cases GROUP BY year, outcome),
 q AS (SELECT year, CASE WHEN count(*) = 2 THEN min(n) ELSE 0 END AS quota FROM c GROUP BY year),
@@ -78,7 +78,7 @@ r AS (SELECT s.*, row_number() OVER (PARTITION BY outcome ORDER BY {HK}, o_order
 flag AS (SELECT r.*, NOT (r.outcome = d.maj AND r.rn <= d.n_drop) AS kept FROM r, d)"""
 
 
-@query("downsample_majority", f"""
+@query("downsample_majority", lambda: f"""
 WITH {CASES_SQL}, {_DOWNSAMPLE_SQL.format(src='cases').strip()}
 SELECT o_orderkey, outcome, kept FROM flag
 """)
@@ -88,7 +88,7 @@ def downsample_majority(spark, sf):
     return f.select("o_orderkey", "outcome", "kept")
 
 
-@query("validation_sample", f"""
+@query("validation_sample", lambda: f"""
 WITH {CASES_SQL}
 SELECT o_orderkey, outcome FROM (
   SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {HK}, o_orderkey) AS rn FROM cases) WHERE rn <= 10
@@ -103,7 +103,7 @@ def random_split(c: DataFrame) -> DataFrame:
     return S.balanced_split(c, "label", "o_orderkey", 1, 0, 0.2)
 
 
-@query("split_random", f"""
+@query("split_random", lambda: f"""
 WITH {CASES_SQL}, {_DOWNSAMPLE_SQL.format(src='cases').strip()},
 b AS (SELECT * EXCLUDE (rn, kept) FROM flag WHERE kept),
 r2 AS (SELECT b.*, row_number() OVER (PARTITION BY label ORDER BY {HK}, o_orderkey) AS rn2,
@@ -116,7 +116,7 @@ def split_random(spark, sf):
     return random_split(cases(spark, sf)).select("o_orderkey", "label", "split")
 
 
-@query("split_temporal", f"""
+@query("split_temporal", lambda: f"""
 WITH {CASES_SQL}, tr AS (SELECT * FROM cases WHERE year < 1999),
 {_DOWNSAMPLE_SQL.format(src='tr').strip()}
 SELECT o_orderkey, label, 'train' AS split FROM flag WHERE kept
@@ -142,7 +142,7 @@ def split_tail(spark, sf):
     return S.split_tail(o, "o_orderdate", "o_orderkey", 0.8).select("o_orderkey", "split")
 
 
-@query("window_validation", f"""
+@query("window_validation", lambda: f"""
 WITH {CASES_SQL},
 w AS (SELECT * FROM (VALUES {', '.join(f'({y})' for y in TEST_YEARS)}) v(test_year)),
 m AS (SELECT c.*, w.test_year, CASE WHEN c.year = w.test_year THEN 'test' ELSE 'train' END AS role
@@ -164,7 +164,7 @@ def window_validation(spark, sf):
     return v.select("o_orderkey", "test_year", "role")
 
 
-@query("stratified_folds", f"""
+@query("stratified_folds", lambda: f"""
 WITH {CASES_SQL}
 SELECT o_orderkey, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {HK}, o_orderkey) - 1) % 3 AS INTEGER) AS fold
 FROM cases
@@ -173,7 +173,7 @@ def stratified_folds(spark, sf):
     return S.stratified_folds(cases(spark, sf), "label", "o_orderkey", 3).select("o_orderkey", "label", "fold")
 
 
-@query("timeseries_folds", f"""
+@query("timeseries_folds", lambda: f"""
 WITH {CASES_SQL},
 p AS (SELECT o_orderkey, row_number() OVER (ORDER BY year, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM cases),
 f AS (SELECT * FROM (VALUES (0), (1), (2)) v(fold))
@@ -196,7 +196,7 @@ def best_per_group_q(spark, sf):
     return best_per_group(e, ["event_type"], [-F.col("value"), F.col("event_id")])
 
 
-@query("sliding_windows", f"""
+@query("sliding_windows", lambda: f"""
 WITH {CASES_SQL},
 w AS (SELECT * FROM (VALUES {', '.join(f'({y})' for y in TEST_YEARS)}) v(test_year)),
 m AS (SELECT c.*, w.test_year, CASE WHEN c.year = w.test_year THEN 'test' ELSE 'train' END AS role

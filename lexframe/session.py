@@ -3,8 +3,7 @@
 Cluster runs get their SparkSession (and ``spark.checkpoint.dir``) from the
 launcher; local runs and tests call :func:`local_session`. Everything the
 library writes (round-trip tables, lineage cuts) goes below the shared folder
-named by ``spark.checkpoint.dir``; a private temporary folder is created only
-when that setting is absent, which is the local/test case.
+named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -42,14 +41,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "lexfr
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local runs, tests) a private folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    single-machine session (tests, bench) gets a private folder and a cluster
+    session a folder below its warehouse, which its executors share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="lexframe-shared-")
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            d = tempfile.mkdtemp(prefix="lexframe-shared-")
+        else:
+            d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexframe_scratch"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

@@ -1,11 +1,13 @@
 """Driver contract, and Spark-vs-DuckDB parity on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMALL
+from conftest import ROOT, SMALL
 
 # A representative slice by default; LEXFRAME_FULL_ORACLE=1 checks all.
 DEFAULT = [
@@ -35,6 +37,20 @@ def test_contract_keys():
     assert len(q) >= 90
 
 
+def test_registry_loads_without_spark_jars(tmp_path):
+    """The registry and every oracle string build where no Spark jar lies
+    next to the pyspark package."""
+    code = (
+        "import glob, zipfile\n"
+        "def no(*a, **k): raise IndexError('no jars here')\n"
+        "glob.glob = no; zipfile.ZipFile = no\n"
+        "import __spark_entry__ as e\n"
+        "assert len(e.queries()) >= 107 and len(e.oracle_sql()) >= 95\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
