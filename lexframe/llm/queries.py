@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens, warc
+from . import mixing, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op4_token_counts": tokens.op4_token_counts,
+        "op7_secret_ownership": secrets.op7_secret_ownership,
         "op8_warc": warc.op8_warc,
     }
 
