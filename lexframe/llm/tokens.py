@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +39,14 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-@lru_cache(maxsize=2)
-def _model(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
 def encode_misses(misses: DataFrame, model: str) -> DataFrame:
     """``digest, text`` -> ``digest, n_tokens``. Whole texts, no begin, end or
     other special ids, no truncation."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _model(model_path(model))
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_path(model))
         for b in batches:
             texts = b.column("text").to_pylist()
             ids = (sp.encode(t, num_threads=1) for t in texts)
@@ -95,7 +89,8 @@ def count_tokens(docs: DataFrame, cache: str, model: str = MODEL, key: str = "do
         misses = join_checked(texts.dropDuplicates(["digest"]), missing, ["digest"], "left_semi")
         (encode_misses(misses, model).select("digest", F.lit(version).alias("version"), "n_tokens")
          .write.mode("append").parquet(cache))
-    counts = read_cache(spark, cache, version)
+    # a table of its own, so that a digest of many documents is an input that Spark can split
+    counts = stored(read_cache(spark, cache, version), "token-counts")
     return ids.join(counts, "digest", "left").select(
         key, "n_bytes", "n_tokens", (F.col("n_tokens") > most).alias("over_limit"), F.hex("digest").alias("digest"))
 
