@@ -10,16 +10,21 @@ underscore and replace nothing of the input's.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table  # noqa: F401
 
+# Executors need not have this package: what runs there is sent with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: Rows up to which a side of a join may be broadcast; every side so joined
 #: has a few fixed-width columns, so this bounds the broadcast to some 50 MB.
 BROADCAST_ROWS = 500_000
