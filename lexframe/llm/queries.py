@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, tokens, warc
+from . import mixing, neardup, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_order_minhash": neardup.op5_order_minhash,
         "op6_quality_divergence": quality.op6_quality_divergence,
         "op7_secret_ownership": secrets.op7_secret_ownership,
         "op8_warc": warc.op8_warc,
