@@ -110,8 +110,12 @@ _LOOSE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)  # any odd constant
+_INVERSE = np.uint64(pow(int(_MUL), -1, 1 << 64))
+_STRETCH = 1 << 20  # bytes hashed at a time
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x2545F4914F6CDD1D)
 
+_LOWERED = _BYTE[_LOWER]
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer."""
@@ -137,18 +141,24 @@ def word_spans(buf: np.ndarray, off: np.ndarray, loose: bool = False) -> tuple[n
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (ASCII letters lowered on request)."""
-    if not len(start):
-        return np.empty(0, np.uint64)
-    size = end - start
-    total = int(size.sum())
-    before = np.cumsum(size) - size
-    inner = np.arange(total, dtype=np.int64) - np.repeat(before, size)
-    chars = buf[np.repeat(start, size) + inner]
+    """A 64-bit hash of each word's bytes (ASCII letters lowered on request):
+    differences of a running polynomial, shifted back by the word's place."""
+    out = np.empty(len(start), np.uint64)
+    powers = shifts = np.empty(0, np.uint64)
+    i = 0
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(size.max()), _MUL, np.uint64))
-        h = np.add.reduceat(_BYTE[_LOWER[chars] if lower else chars] * power[inner], before)
-        return mix(h)
+        while i < len(start):  # a stretch of whole words at a time
+            j = max(i + 1, int(np.searchsorted(end, start[i] + _STRETCH, "right")))
+            part = buf[start[i]: end[j - 1]]
+            if len(part) >= len(powers):
+                powers = np.cumprod(np.full(len(part) + 1, _MUL, np.uint64))
+                shifts = np.cumprod(np.full(len(part) + 1, _INVERSE, np.uint64))
+            run = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((_LOWERED if lower else _BYTE)[part] * powers[: len(part)], out=run[1:])
+            at = start[i:j] - start[i]
+            out[i:j] = (run[end[i:j] - start[i]] - run[at]) * shifts[at]
+            i = j
+    return mix(out)
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
