@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, secrets, tokens, warc
+from . import decontam, langid, mixing, neardup, packing, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_token_packing": packing.op2_token_packing,
+        "op3_language_fusion": langid.op3_language_fusion,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_order_minhash": neardup.op5_order_minhash,
         "op6_quality_divergence": quality.op6_quality_divergence,
