@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -42,6 +43,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, jobs hand Python at most ``rows`` rows at a time: for
+    rows that carry two texts, where the default of 10,000 is much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of ``keys`` in two frames."""
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
