@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, packing, quality, secrets, tokens, warc
+from . import decontam, langid, mixing, neardup, packing, passages, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_divergence": quality.op6_quality_divergence,
         "op7_secret_ownership": secrets.op7_secret_ownership,
         "op8_warc": warc.op8_warc,
+        "op9_paragraph_bands": passages.op9_paragraph_bands,
         "op10_bm25_decontamination": decontam.op10_bm25_decontamination,
     }
 
