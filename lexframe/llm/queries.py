@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontam, langid, mixing, neardup, packing, passages, quality, secrets, tokens, warc
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": _pipeline,
         "op1_mixing": mixing.op1_mixing,
         "op2_token_packing": packing.op2_token_packing,
         "op3_language_fusion": langid.op3_language_fusion,
