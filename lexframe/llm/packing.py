@@ -29,46 +29,18 @@ LENGTH = 2048               #: ids of a row
 WINDOW_TOKENS = 1 << 20     #: ids packed together
 RANKS = "byte_bpe_50k.tiktoken"
 END = 50256                 #: the vocabulary's free id, set after every document
-CACHED_WORDS = 200_000      #: encodings kept by a task
 RESULT = ("n_tokens int, n_segments int, input_ids binary, position_ids binary, cu_seqlens array<int>, "
           "doc_ids array<bigint>, pieces array<int>, starts array<bigint>")
 
 
-class Encoder:
-    """Ids of a text under a byte-level vocabulary, as the library gives them.
+def encoder(ranks: str = RANKS):
+    """The library's encoder of a vocabulary: text -> ids."""
+    import public_tokenizers as p
+    import tiktoken
 
-    The library's pattern never joins what a single space between two
-    non-spaces separates: the space opens the next token. So such texts are
-    encoded stretch by stretch, and stretches seen before are looked up.
-    """
-
-    def __init__(self, ranks: str = RANKS):
-        import public_tokenizers as p
-        import tiktoken
-
-        with open(p.path(ranks), "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=table,
-                                        special_tokens={}).encode_ordinary
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        parts = text.split(" ")
-        if "" in parts or len(parts) < 2:
-            return self.encode(text)
-        known, out = self.known, []
-        for i, p in enumerate(parts):
-            ids = known.get(p) if i else None
-            if ids is None:
-                if p[0].isspace() or p[-1].isspace():
-                    return self.encode(text)  # a longer run of white space: its parts depend on each other
-                ids = self.encode(" " + p if i else p)
-                if i:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[p] = ids
-            out += ids
-        return out
+    with open(p.path(ranks), "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
 
 class Capacities:
@@ -142,10 +114,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, total = Encoder(ranks), [], 0
+        encode, held, total = encoder(ranks), [], 0
         for b in batches:
             for k, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.array([*encoder(t or ""), end], np.int32)
+                ids = np.array([*encode(t or ""), end], np.int32)
                 held += [(k, n, a, ids[a: a + length]) for n, a in enumerate(range(0, len(ids), length))]
                 total += len(ids)
                 if total >= window:

@@ -1,4 +1,4 @@
-"""Packing: the round trip, the fit, the encoder against the library."""
+"""Packing: the round trip and the fit."""
 
 import random
 
@@ -9,17 +9,6 @@ from lexframe.llm import packing as P
 from pyspark.sql import functions as F
 
 
-def test_encoder_is_the_library():
-    e = P.Encoder()
-    rng = random.Random(1)
-    texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "the cat's it's  'll", "é ü x y", "x  y z", "1 22 333 !? a!"]
-    for _ in range(3000):
-        texts.append("".join(rng.choice(["a", "the", " ", " ", "\n", "\t", ".", ",", "'s", "7", "é", " ", "漢", "\U0001f600"])
-                             for _ in range(rng.randint(1, 14))))
-    for t in texts:
-        assert e(t) == e.encode(t), repr(t)
-
-
 def test_best_fit_against_a_plain_search():
     rng = random.Random(2)
     for _ in range(60):
@@ -56,14 +45,14 @@ def whole(rows, length=P.LENGTH):
 
 
 def test_round_trip(spark):
-    e = P.Encoder()
+    encode = P.encoder()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = P.op2_token_packing(spark, SMALL).collect()
     got = whole(rows)
     assert got.keys() == docs.keys()
     for d, parts in got.items():
         assert [p[1] for p in parts] == [i * P.LENGTH for i in range(len(parts))]
-        assert [x for p in parts for x in p[2]] == [*e.encode(docs[d]), P.END]
+        assert [x for p in parts for x in p[2]] == [*encode(docs[d]), P.END]
     total = sum(r["n_tokens"] for r in rows)
     assert total >= 0.97 * P.LENGTH * len(rows)
 
@@ -74,7 +63,7 @@ def test_awkward_rows(spark, tmp_path):
     got = whole(rows, 64)
     assert sum(len(p) for p in got.values()) == sum(r["n_segments"] for r in rows)
     assert [x[2] for x in got[4]] == [[P.END]] and [x[2] for x in got[3]] == [[P.END]] and len(got[None]) > 1
-    e = P.Encoder()
-    assert [x for p in got[6] for x in p[2]] == [*e.encode(awkward.LONG), P.END]
+    encode = P.encoder()
+    assert [x for p in got[6] for x in p[2]] == [*encode(awkward.LONG), P.END]
     assert sum(p[0] == 0 for p in got[2]) == 2
     assert P.pack(d.filter(F.lit(False))).count() == 0

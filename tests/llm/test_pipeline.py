@@ -31,13 +31,13 @@ def test_stages(spark):
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(first.filter(first.doc_id.isin(came))).collect()}
     assert {d: stay.count(d) for d in set(stay)} == {d: n for d, n in plan.items() if n}
     rows = C.STAGES[-1][1](spark, docs, SMALL).collect()
-    e, parts = packing.Encoder(), {}
+    encode, parts = packing.encoder(), {}
     for r in rows:
         ids = np.frombuffer(r["input_ids"], "<i4")
         for a, b, d, n in zip(r["cu_seqlens"], r["cu_seqlens"][1:], r["doc_ids"], r["pieces"]):
             parts.setdefault((d, n), []).append(ids[a:b].tolist())
     for d in set(stay):
-        want = [*e.encode(texts[d]), packing.END]
+        want = [*encode(texts[d]), packing.END]
         for n in range(-(-len(want) // packing.LENGTH)):
             assert parts.pop((d, n)) == [want[n * packing.LENGTH: (n + 1) * packing.LENGTH]] * stay.count(d)
     assert not parts
