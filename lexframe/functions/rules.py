@@ -25,7 +25,7 @@ from .text import strip_markup
 # non-space character is a token of its own.
 MATCH_TOKEN = r"[a-z0-9]+|[^a-z0-9 \t\n\r\f]"
 OTHER = "~"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+FIRST_SYMBOL = 0xE000  # symbols are private-use characters, which no pattern gives a meaning
 
 
 def fuzzy_bound(word: str) -> int:
@@ -142,10 +142,8 @@ class RulePack:
                         nxt.append(c | {j})
             cliques.extend(nxt)
             frontier = nxt
-        if len(cliques) > len(ALPHABET):
-            raise ValueError(f"rule pack needs {len(cliques)} symbols; at most {len(ALPHABET)}")
         cliques.sort(key=lambda c: (-len(c), sorted(c)))
-        self._symbols = {c: ALPHABET[k] for k, c in enumerate(cliques)}
+        self._symbols = {c: chr(FIRST_SYMBOL + k) for k, c in enumerate(cliques)}
         return self._symbols
 
     def _atom_test(self, tok: Column, atom: tuple) -> Column:
@@ -161,8 +159,8 @@ class RulePack:
         """Token array -> symbol string (one character per token)."""
         atoms = self.atoms()
         syms = self.symbols()
-        lo = min(len(a[1]) - (fuzzy_bound(a[1]) if a[0] == "fuzzy" else 0) for a in atoms if a[0] != "lemma")
-        lo = min([lo] + [len(w) for a in atoms if a[0] == "lemma" for w in a[2]])
+        lo = min([len(a[1]) - (fuzzy_bound(a[1]) if a[0] == "fuzzy" else 0) for a in atoms if a[0] != "lemma"]
+                 + [len(w) for a in atoms if a[0] == "lemma" for w in a[2]])
 
         def one(t: Column) -> Column:
             expr = None

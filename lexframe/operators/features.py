@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +61,27 @@ def vocabulary_ids(tf: DataFrame, doc: str, min_df: int = 1) -> DataFrame:
 
 
 def mean_vectors(tokens_long: DataFrame, doc: str, vectors: DataFrame, word: str, vec: str,
-                 weight: Column | None = None) -> DataFrame:
+                 weight: Column | None = None, count: str | None = None) -> DataFrame:
     """(doc, dim, value): per-dimension (weighted) mean of the vectors of the
     known tokens of each document (T18/T20). Unknown tokens are ignored; a
     document with none is absent (its vector is null).
 
     ``tokens_long`` has one row per token occurrence (doc, term[, weight
     columns]). Occurrences are first counted per (doc, term) with map-side
-    partial aggregation, so the join with the vector table moves one row per
-    distinct term of a document, not one per token; AQE broadcasts the
-    vector table when it is small."""
+    partial aggregation (or come counted, in column ``count``), so the join
+    with the vector table moves one row per distinct term of a document, not
+    one per token; AQE broadcasts the vector table when it is small."""
     w = weight if weight is not None else F.lit(1.0)
-    counted = tokens_long.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("__c"), F.first(w).alias("__w"))
+    if count:
+        counted = tokens_long.select(doc, "term", F.col(count).alias("__c"), w.alias("__w"))
+    else:
+        counted = tokens_long.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("__c"), F.first(w).alias("__w"))
     j = counted.join(vectors.select(F.col(word).alias("term"), F.col(vec).alias("__v")), "term")
-    j = j.select(doc, (F.col("__c") * F.col("__w")).alias("__wt"), F.posexplode("__v").alias("dim", "__x"))
-    return j.groupBy(doc, "dim").agg((F.sum(F.col("__x") * F.col("__wt")) / F.sum("__wt")).alias("value"))
+    # one vector a document crosses the shuffle, not one row a term and dimension
+    wt = (F.col("__c") * F.col("__w")).alias("__wt")
+    j = j.select(doc, wt, array_to_vector(F.col("__v").cast("array<double>")).alias("__v"))
+    mean = j.groupBy(doc).agg(Summarizer.mean(F.col("__v"), F.col("__wt")).alias("__m"))
+    return mean.select(doc, F.posexplode(vector_to_array("__m")).alias("dim", "value"))
 
 
 def one_hot(c: str, domain: Sequence[str], prefix: str | None = None) -> list[Column]:

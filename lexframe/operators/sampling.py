@@ -114,8 +114,7 @@ def downsample_majority(df: DataFrame, label: str, key: str, pos: str, neg: str,
 
 
 # -- W6 --------------------------------------------------------------------
-def validation_sample(df: DataFrame, label: str, key: str, n: int, seed: int = SEED,
-                      all_if_short: bool = False) -> DataFrame:
+def validation_sample(df: DataFrame, label: str, key: str, n: int, seed: int = SEED) -> DataFrame:
     """``n // 2`` rows per class (fewer, i.e. all, where a class is short)."""
     half = n // 2
     r = stratified_rank(df, [label], key, seed, "__rank")
@@ -125,29 +124,46 @@ def validation_sample(df: DataFrame, label: str, key: str, n: int, seed: int = S
 # -- W7 / W9 ---------------------------------------------------------------
 def split_random(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = SEED,
                  split_col: str = "split") -> DataFrame:
-    """Stratified split: per class the first ``ceil(frac*n)`` hash-ranked rows
-    are test, the rest train."""
+    """Stratified split: ``ceil(frac * rows)`` rows are test, shared over the
+    classes by :func:`test_quota`; of a class the first hash-ranked rows."""
     r = stratified_rank(df, [label], key, seed, "__rank")
-    n = r.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    j = _null_safe_join(r, n, [label])
-    ntest = F.ceil(F.col("__n") * F.lit(test_frac) - F.lit(1e-9))
-    return j.withColumn(split_col, F.when(F.col("__rank") <= ntest, "test").otherwise("train")).drop("__rank", "__n")
+    j = _null_safe_join(r, test_quota(stratum_counts(df, [label], "__n"), label, "__n", test_frac, "__t"), [label])
+    return j.withColumn(split_col, F.when(F.col("__rank") <= F.col("__t"), "test").otherwise("train")).drop(
+        "__rank", "__n", "__t")
+
+
+def test_quota(counts: DataFrame, label: str, n: str, test_frac: float, out: str) -> DataFrame:
+    """Add ``out`` to a table of class counts: the classes' parts of
+    ``ceil(frac * total)`` test rows in proportion to their sizes, rounded by
+    largest remainder (of equal ones the smaller label first). The windows
+    hold one row for each class."""
+    everything = Window.partitionBy()
+    total = F.sum(n).over(everything)
+    wanted = F.ceil(total * F.lit(test_frac) - F.lit(1e-9))
+    c = counts.withColumn("__w", wanted).withColumn("__x", F.col("__w") * F.col(n) / total)
+    c = c.withColumn("__f", F.floor(F.col("__x") + F.lit(1e-9)))
+    order = Window.orderBy(F.round(F.col("__x") - F.col("__f"), 9).desc(), F.col(label).asc_nulls_last())
+    c = c.withColumn("__left", F.col("__w") - F.sum("__f").over(everything))
+    extra = (F.row_number().over(order) <= F.col("__left")).cast("bigint")
+    return c.withColumn(out, F.col("__f") + extra).drop("__w", "__x", "__f", "__left")
 
 
 def balanced_split(df: DataFrame, label: str, key: str, pos, neg, test_frac: float = 0.2, seed: int = SEED,
                    split_col: str = "split") -> DataFrame:
     """W4 + W7 in one ranking pass. The majority rows a down-sample drops
     are the first ``n_drop`` of their class in hash order, so inside the
-    balanced pool a row's rank is ``rank - n_drop``: the first
-    ``ceil(frac * m)`` of those are test, and the dropped rows go to test
-    as well (m = minority count)."""
+    balanced pool a row's rank is ``rank - n_drop``: of the pool's ``2 m``
+    rows (m = minority count) ``ceil(frac * 2 m)`` are test, half of each
+    class and an odd one of the smaller label; the dropped rows go to test as
+    well."""
     r = stratified_rank(df, [label], key, seed, "__rank")
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     j = _null_safe_join(r, c, [label])
     m = df.agg(F.count_if(F.col(label) == pos).alias("p"), F.count_if(F.col(label) == neg).alias("q")).first()
     minority = min(m["p"], m["q"])
     n_drop = F.col("__n") - F.lit(minority)
-    ntest = math.ceil(minority * test_frac - 1e-9)
+    pool = math.ceil(2 * minority * test_frac - 1e-9)
+    ntest = F.when(F.col(label) == min(pos, neg), pool - pool // 2).otherwise(pool // 2)
     test = (F.col("__rank") <= n_drop) | (F.col("__rank") - n_drop <= ntest)
     return j.withColumn(split_col, F.when(test, "test").otherwise("train")).drop("__rank", "__n")
 
@@ -178,7 +194,7 @@ def split_tail(df: DataFrame, date_col: str, key: str, train_frac: float = 0.8,
     the rest val (W10)."""
     order = [F.col(date_col).asc_nulls_last(), F.col(key).asc()]
     p = global_position(df, order, "__pos")
-    n = df.count()  # one scalar
+    n = p.count()  # one scalar, of the checkpointed rows
     cut = int(n * train_frac + 1e-9)
     return p.withColumn(split_col, F.when(F.col("__pos") < cut, "train").otherwise("val")).drop("__pos")
 
@@ -188,7 +204,7 @@ def timeseries_folds(df: DataFrame, order: Sequence[Column], k: int = 3) -> Data
     positions [n - (k-i)*t, n - (k-i-1)*t) and trains on all before.
     Output: input columns + fold, role (a row appears once per fold it is in)."""
     p = global_position(df, order, "__pos")
-    n = df.count()  # one scalar
+    n = p.count()  # one scalar, of the checkpointed rows
     t = n // (k + 1)
     folds = F.array(*[F.lit(i) for i in range(k)])
     start = lambda i: F.lit(n) - (F.lit(k) - i) * t
@@ -259,6 +275,3 @@ def window_validation(member: DataFrame, year_col: str, date_col: str, key: str,
                            .otherwise("val")).drop("__p", "__p0", "__n")
     return by_year.unionByName(tail).unionByName(member.filter(F.col("role") == "test"))
 
-
-def ceil_frac(n: int, frac: float) -> int:
-    return math.ceil(n * frac - 1e-9)

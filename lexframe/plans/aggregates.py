@@ -294,9 +294,14 @@ d AS (SELECT CASE WHEN p > q THEN 'Affirmed' ELSE 'Reversed' END AS maj, abs(p -
 r AS (SELECT s.*, row_number() OVER (PARTITION BY outcome ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rn FROM cases s),
 flag AS (SELECT r.*, NOT (r.outcome = d.maj AND r.rn <= d.n_drop) AS kept FROM r, d),
 b AS (SELECT * FROM flag WHERE kept),
+q AS (SELECT label, count(*) AS n FROM b GROUP BY label),
+w AS (SELECT label, ceil(CAST(0.2 AS DOUBLE) * (SELECT sum(n) FROM q) - 1e-9) AS w,
+             ceil(CAST(0.2 AS DOUBLE) * (SELECT sum(n) FROM q) - 1e-9) * n / (SELECT sum(n) FROM q) AS x FROM q),
+quota AS (SELECT label, floor(x + 1e-9) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x + 1e-9), 9) DESC, label)
+                 <= w - (SELECT sum(floor(x + 1e-9)) FROM w) THEN 1 ELSE 0 END AS t FROM w),
 r2 AS (SELECT b.*, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rn2,
        count(*) OVER (PARTITION BY label) AS n FROM b),
-sp AS (SELECT label, CASE WHEN rn2 <= ceil(n * CAST(0.2 AS DOUBLE) - 1e-9) THEN 'test' ELSE 'train' END AS split FROM r2
+sp AS (SELECT label, CASE WHEN rn2 <= (SELECT t FROM quota WHERE quota.label = r2.label) THEN 'test' ELSE 'train' END AS split FROM r2
        UNION ALL SELECT label, 'test' FROM flag WHERE NOT kept)
 SELECT split, label, count(*) AS n FROM sp GROUP BY ROLLUP (split, label)
 """)

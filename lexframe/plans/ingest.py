@@ -156,15 +156,15 @@ def parquet_roundtrip(spark, sf):
 SELECT doc_id, md5(text) AS digest FROM documents WHERE lang = 'en' AND source <> 'src0'
 """)
 def corpus_scan_filter(spark, sf):
-    """Headerless TSV corpus (column 4 language, 5 kind, 7 text)."""
+    """Headerless TSV corpus (from 0: column 4 language, 5 kind, 7 text)."""
     d = t(spark, sf, "documents")
     kind = F.when(F.col("source") == "src0", "PDFEP").otherwise("TXT")
-    rows = d.select(F.col("doc_id").cast("string"), "source", F.col("n_chars").cast("string"), "lang", kind.alias("kind"),
-                    F.lit("A1"), "text")
+    rows = d.select(F.col("doc_id").cast("string"), "source", F.col("n_chars").cast("string"), F.lit("EP"), "lang",
+                    kind.alias("kind"), F.lit("A1"), "text")
     path = scratch_path(spark, "corpus-tsv")
     FS.write_tsv(rows, path)
     c = FS.scan_corpus(spark, path)
-    return c.select(F.col("c1").cast("bigint").alias("doc_id"), F.md5("c7").alias("digest"))
+    return c.select(F.col("c0").cast("bigint").alias("doc_id"), F.md5("c7").alias("digest"))
 
 
 RESULT_SCHEMA = T.StructType([

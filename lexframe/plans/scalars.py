@@ -335,7 +335,7 @@ FROM events
 def map_prefix_params(spark, sf):
     def strip(prefix):
         m = F.transform_keys(F.map_filter("params", lambda k, v: k.startswith(prefix)),
-                             lambda k, v: F.substring(k, len(prefix) + 1, 1000))
+                             lambda k, v: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
         ent = F.array_sort(F.map_entries(m))
         return F.array_join(F.transform(ent, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
 

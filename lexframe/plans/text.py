@@ -96,13 +96,13 @@ GROUP BY literal, tok
 def fuzzy_tokens(spark, sf):
     """Tokens within the FUZZY edit bound of each literal, with counts."""
     toks = docs(spark, sf).select(TX.explode_tokens(match_tokens(F.col("text"))).alias("token"))
-    toks = toks.filter(F.col("token").isNotNull())
+    # count first: an edit distance for each distinct token, not for each occurrence
+    toks = toks.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # literals are a handful of rows: an array literal, exploded per token
     lits = F.array(*[F.struct(F.lit(w).alias("literal"), F.lit(fuzzy_bound(w)).alias("k")) for w in _FUZZY_WORDS])
     near = F.filter(lits, lambda L: (F.abs(F.length("token") - F.length(L["literal"])) <= L["k"])
                     & (F.levenshtein(F.col("token"), L["literal"]) <= L["k"]))
-    x = toks.select("token", F.explode(near).alias("l"))
-    return x.groupBy(F.col("l.literal").alias("literal"), "token").agg(F.count(F.lit(1)).alias("n"))
+    return toks.select("token", "n", F.explode(near).alias("l")).select(F.col("l.literal").alias("literal"), "token", "n")
 
 
 # -- T12 / T13 / T14 -----------------------------------------------------------
@@ -120,8 +120,7 @@ def classify_priority(spark, sf):
 
 @query("subclassify", lambda: f"""
 WITH c AS (SELECT doc_id, text,
-  {OR.classify_sql(RP.LICENCE, OR.flags_sql(RP.LICENCE, 'text'), RP.LICENCE_ORDER)} AS rule_class FROM documents
-  WHERE lang = 'en')
+  {OR.classify_sql(RP.LICENCE, OR.flags_sql(RP.LICENCE, 'text'), RP.LICENCE_ORDER)} AS rule_class FROM documents)
 SELECT doc_id, rule_class,
   {OR.combined_sql(RP.APPELLANT_TYPE, OR.flags_sql(RP.APPELLANT_TYPE, 'text'), '3', ('2', '1'), RP.APPELLANT_ORDER)}
     AS appellant_type
@@ -130,7 +129,7 @@ FROM c WHERE rule_class IN ('with_the', 'and_of')
 def subclassify(spark, sf):
     """Appellant-type rules applied only to the rows of two main classes
     (filter first: the second pack runs on those rows only)."""
-    d = docs(spark, sf, F.col("lang") == "en")
+    d = docs(spark, sf)
     c = d.select("doc_id", "text", classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER).alias("rule_class"))
     c = c.filter(F.col("rule_class").isin("with_the", "and_of"))
     sub = classify_combined(RP.APPELLANT_TYPE, F.col("text"), "3", ("2", "1"), RP.APPELLANT_ORDER)
@@ -204,10 +203,10 @@ FROM s GROUP BY doc_id
 """)
 def sentences(spark, sf):
     d = docs(spark, sf)
-    s = d.select("doc_id", TX.explode_tokens(TX.sentences(F.col("text"))).alias("sentence"))
-    return s.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).cast("bigint").alias("n_chars"),
-        F.md5(F.array_join(F.array_sort(F.collect_list("sentence")), "|")).alias("digest"))
+    s = d.select("doc_id", F.array_sort(TX.sentences(F.col("text"))).alias("s"))
+    chars = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return s.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), chars.alias("n_chars"),
+                    F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query("corpus_stats", lambda: f"""
@@ -222,7 +221,7 @@ def corpus_stats(spark, sf):
 
 # -- T15-T17: n-grams, vocabulary, tf-idf ---------------------------------------
 @query("ngrams", lambda: f"""
-WITH x AS (SELECT doc_id, {clean_tokens_sql('text')} AS tok FROM documents WHERE lang = 'en'),
+WITH x AS (SELECT doc_id, {clean_tokens_sql('text')} AS tok FROM documents),
 g AS (
   SELECT doc_id, n, array_to_string(tok[i:i + n - 1], ' ') AS gram
   FROM x, (VALUES (1), (2), (3)) v(n), LATERAL (SELECT unnest(range(1, len(tok) - n + 2)) AS i)
@@ -231,13 +230,13 @@ SELECT doc_id, count(*) AS n_grams, count(DISTINCT gram) AS n_distinct, md5(stri
 FROM g GROUP BY doc_id
 """)
 def ngrams(spark, sf):
-    d = docs(spark, sf, F.col("lang") == "en")
-    # tokens as a column first: the n-gram lambda reads it many times
-    d = d.select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
-    g = d.select("doc_id", TX.explode_tokens(TX.ngrams(F.col("tok"), 1, 3)).alias("gram"))
-    g = g.filter(F.col("gram").isNotNull())
-    return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_grams"), F.count_distinct("gram").alias("n_distinct"),
-                                   F.md5(F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("digest"))
+    """Word 1- to 3-grams of every document: a map, no shuffle. Documents
+    without a token have no row."""
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    g = d.select("doc_id", F.array_sort(TX.ngrams(F.col("tok"), 1, 3)).alias("g"))
+    return g.filter(F.size("g") > 0).select(
+        "doc_id", F.size("g").cast("bigint").alias("n_grams"), F.size(F.array_distinct("g")).cast("bigint").alias("n_distinct"),
+        F.md5(F.array_join("g", "|")).alias("digest"))
 
 
 @query("min_df_vocab", lambda: f"""
@@ -261,7 +260,7 @@ def tfidf_l2(spark, sf):
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-_GRAM_CTE = f"""docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
+_GRAM_CTE = f"""docs AS (SELECT doc_id, text FROM documents),
 x AS (SELECT doc_id, {clean_tokens_sql('text')} AS tok FROM docs),
 toks AS (
   SELECT doc_id, array_to_string(tok[i:i + n - 1], ' ') AS term
@@ -270,8 +269,7 @@ toks AS (
 
 @query("ngram_tf_l2", tfidf_sql(_GRAM_CTE, 2, False, True))
 def ngram_tf_l2(spark, sf):
-    d = docs(spark, sf, F.col("lang") == "en")
-    d = d.select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
     d = d.select("doc_id", TX.ngrams(F.col("tok"), 1, 2).alias("tok"))
     w = tfidf_long(d, "doc_id", "tok", min_df=2, use_idf=False, norm=True)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
@@ -324,21 +322,28 @@ def doc_vectors_idf(spark, sf):
     n = float(d.count())  # one scalar: the number of documents
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    toks = d.select("doc_id", TX.explode_tokens("tok").alias("term")).filter(F.col("term").isNotNull()).join(idf, "term")
-    m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding", weight=F.col("idf"))
+    m = mean_vectors(tf.join(idf, "term"), "doc_id", word_vectors(spark, sf), "word", "embedding",
+                     weight=F.col("idf"), count="tf")
     return m.select("doc_id", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
+WORD2VEC_PARTITIONS = 4
+
+
 @query("word2vec_train")
 def word2vec_train(spark, sf):
-    """Distributed skip-gram word vectors on English token lists."""
+    """Distributed skip-gram word vectors, sentence by sentence (windows
+    do not cross a sentence) on tag-stripped English texts. Spark's trainer
+    keeps vocabulary x vectorSize floats on the driver: ``minCount`` must bound
+    the vocabulary (10 million words are 12 GB). The number of partitions, on
+    which the vectors depend, is a parameter of the job."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     d = docs(spark, sf, (F.col("lang") == "en") & (F.col("source") != "src0"))
-    tok = d.select(TX.clean_tokens(F.col("text")).alias("tokens"))
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = d.select(F.explode(TX.sentences(TX.strip_markup(F.col("text")))).alias("sentence"))
+    tok = s.select(TX.clean_tokens(F.col("sentence")).alias("tokens")).filter(F.size("tokens") > 0)
     w2v = Word2Vec(vectorSize=300, minCount=10, windowSize=5, maxIter=3, seed=42, inputCol="tokens",
-                   outputCol="vector", numPartitions=n_parts)
+                   outputCol="vector", numPartitions=WORD2VEC_PARTITIONS)
     model = w2v.fit(tok)
-    return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
+    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))

@@ -106,9 +106,14 @@ def random_split(c: DataFrame) -> DataFrame:
 @query("split_random", lambda: f"""
 WITH {CASES_SQL}, {_DOWNSAMPLE_SQL.format(src='cases').strip()},
 b AS (SELECT * EXCLUDE (rn, kept) FROM flag WHERE kept),
+q AS (SELECT label, count(*) AS n FROM b GROUP BY label),
+w AS (SELECT label, ceil(CAST(0.2 AS DOUBLE) * (SELECT sum(n) FROM q) - 1e-9) AS w,
+             ceil(CAST(0.2 AS DOUBLE) * (SELECT sum(n) FROM q) - 1e-9) * n / (SELECT sum(n) FROM q) AS x FROM q),
+quota AS (SELECT label, floor(x + 1e-9) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x + 1e-9), 9) DESC, label)
+                 <= w - (SELECT sum(floor(x + 1e-9)) FROM w) THEN 1 ELSE 0 END AS t FROM w),
 r2 AS (SELECT b.*, row_number() OVER (PARTITION BY label ORDER BY {HK}, o_orderkey) AS rn2,
               count(*) OVER (PARTITION BY label) AS n FROM b)
-SELECT o_orderkey, label, CASE WHEN rn2 <= ceil(n * CAST(0.2 AS DOUBLE) - 1e-9) THEN 'test' ELSE 'train' END AS split FROM r2
+SELECT o_orderkey, label, CASE WHEN rn2 <= (SELECT t FROM quota WHERE quota.label = r2.label) THEN 'test' ELSE 'train' END AS split FROM r2
 UNION ALL
 SELECT o_orderkey, label, 'test' AS split FROM flag WHERE NOT kept
 """)

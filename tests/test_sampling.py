@@ -17,6 +17,7 @@ def _cases(spark, n_pos, n_neg):
 @pytest.mark.parametrize("n_pos,n_neg,train,test", [
     (5013, 3648, 5836, 2825),    # pf, experiment 1
     (7286, 5353, 8564, 4075),    # op, experiment 1
+    (10934, 10366, 16585, 4715),  # both, experiment 1: an odd test row
 ])
 def test_published_split_sizes(spark, n_pos, n_neg, train, test):
     s = S.balanced_split(_cases(spark, n_pos, n_neg), "label", "key", 1, 0, 0.2)
@@ -24,7 +25,7 @@ def test_published_split_sizes(spark, n_pos, n_neg, train, test):
     assert (got["train"], got["test"]) == (train, test)
     # balanced train, test holds every dropped majority row
     per = dict(((r.split, r.label), r["count"]) for r in s.groupBy("split", "label").count().collect())
-    assert per[("train", 1)] == per[("train", 0)]
+    assert abs(per[("train", 1)] - per[("train", 0)]) <= 1
 
 
 def test_balanced_split_equals_two_pass(spark):
