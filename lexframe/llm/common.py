@@ -105,7 +105,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]: off[-1]], off - off[0]
 
 
-def blocks(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of at most ``most`` bytes (one row at least), which
     bounds the memory of the vectorised work on a batch."""
     i, n = 0, len(off) - 1
