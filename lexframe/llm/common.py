@@ -10,6 +10,7 @@ underscore and replace nothing of the input's.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -43,6 +44,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frugal(work):
+    """A map over Arrow batches that gives freed memory back to the system
+    when its task ends: Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let jobs of this session hand Python at most ``rows`` rows at a time:
+    for whole texts, where the default of 10,000 is much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    if before <= 0 or before > rows:
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within the block, jobs hand Python at most ``rows`` rows at a time: for

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, read, rolling, stored, text_bytes, word_hashes, word_spans
+from .common import blocks, bound_batches, frugal, read, rolling, stored, text_bytes, word_hashes, word_spans
 
 PASSAGE = 128       #: words of a passage; passages start every half of it
 THRESHOLD = 0.6     #: part of an item's own score from which it is retrieved
@@ -91,7 +91,7 @@ def index_table(items: DataFrame) -> DataFrame:
                     (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["item", "n", "term", "tf", "len"])
 
     rows = items.select("item", F.concat_ws(" ", "q", "a").alias("text")).mapInArrow(
-        cut, "item bigint, n int, term bigint, tf int, len int")
+        frugal(cut), "item bigint, n int, term bigint, tf int, len int")
     rows = stored(rows, "bm25-terms")
     pieces = rows.groupBy("item", "n").agg(F.max("len").alias("len"))
     all_ = pieces.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("mean")).first()
@@ -323,6 +323,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     are kept as they are. Repeated documents give their rows again, a repeated
     item counts once. An empty benchmark or table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     out = None
     kind = docs.schema[key].dataType.simpleString()
     for index, parts in load_blocks(items, key=item, question=question, answer=answer):
@@ -337,7 +338,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     ["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         schema = f"id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double"
-        one = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(work, schema)
+        one = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(frugal(work), schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
         schema = f"id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double"
@@ -349,6 +350,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
                       question: str = "text", answer: str | None = None) -> DataFrame:
     """The rows of ``docs`` without those that carry an item; all columns pass
     through one map, nothing is joined or shuffled."""
+    bound_batches(docs.sparkSession)
     out = docs
     for index, parts in load_blocks(items, key=item, question=question, answer=answer):
 
@@ -357,7 +359,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
                 gone = {r[0] for r in search(index, parts, b.column(text)) if min(r[3], r[4]) >= OVERLAP}
                 yield b.filter(pa.array([i not in gone for i in range(b.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(work, docs.schema)
+        out = out.mapInArrow(frugal(work), docs.schema)
     return out
 
 

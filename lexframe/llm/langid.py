@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, join_checked, read, stored, text_bytes
+from .common import bound_batches, frugal, join_checked, read, stored, text_bytes
 
 LANGUAGES = ("de", "en", "es", "fr")
 BINS = 1 << 15          #: hashed trigrams of a model
@@ -70,7 +70,7 @@ def train(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()),
                                           pa.array(sums[lang, at], pa.int64())], ["lang", "bin", "n"])
 
-    parts = rows.select("declared", "text").mapInArrow(count, "lang int, bin int, n bigint")
+    parts = rows.select("declared", "text").mapInArrow(frugal(count), "lang int, bin int, n bigint")
     sums = np.zeros((len(languages), BINS))
     for r in parts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas().itertuples():
         sums[r.lang, r.bin] = r.n
@@ -163,6 +163,7 @@ def identify(docs: DataFrame, declared: Column, host: Column, suffix: Column, te
     not in ``languages``: counted, so it tells what such pages are. Repeated
     rows: each gets the same answer. Empty table: no rows.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(text).alias("text"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
     model = train(base, languages)
     told, prior = evidence(base.withColumn("_text", likelihood_column(model, F.col("text"))), languages)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bound_batches, frugal, read
 
 LENGTH = 2048               #: ids of a row
 WINDOW_TOKENS = 1 << 20     #: ids packed together
@@ -113,6 +113,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     packed each. Empty table: no rows.
     """
 
+    bound_batches(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, held, total = encoder(ranks), [], 0
         for b in batches:
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         if held:
             yield from _rows(held, length)
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(work, RESULT)
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(frugal(work), RESULT)
 
 
 def _rows(pieces: list, length: int, most: int = 256) -> Iterator[pa.RecordBatch]:

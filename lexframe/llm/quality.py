@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read, stored, text_bytes, word_hashes, word_spans
+from .common import blocks, bound_batches, frugal, read, stored, text_bytes, word_hashes, word_spans
 
 COMMON = 0.002          #: share of a language's words that makes a word common
 LEAST_LANGUAGE = 0.001  #: share of all words that gives a language a reference of its own
@@ -138,7 +138,7 @@ def common_words(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                           pa.array([r[1] for r in rows], pa.string())], ["lang", "word"])
 
-    return docs.select("lang", "text").mapInArrow(report, "lang string, word string").distinct()
+    return docs.select("lang", "text").mapInArrow(frugal(report), "lang string, word string").distinct()
 
 
 def language_counts(docs: DataFrame, vocabulary: dict[str | None, list[str]]) -> DataFrame:
@@ -161,7 +161,7 @@ def language_counts(docs: DataFrame, vocabulary: dict[str | None, list[str]]) ->
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
                                           enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    parts = docs.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
+    parts = docs.select("lang", "text").mapInArrow(frugal(count), "lang string, word string, n bigint")
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -246,7 +246,7 @@ def judge(docs: DataFrame, refs: dict[str | None, Reference]) -> DataFrame:
                 [b.column("doc_id").cast(pa.int64()),
                  *[pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)]], names)
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(rows, RESULT)
+    return docs.select("doc_id", "lang", "text").mapInArrow(frugal(rows), RESULT)
 
 
 def quality(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
@@ -257,6 +257,7 @@ def quality(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str
     below ``LEAST_LANGUAGE``: judged by the character classes of all languages.
     Repeated rows: a result each. Empty table: no rows.
     """
+    bound_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     return judge(d, references(d)).withColumnRenamed("doc_id", key)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_columns, join_checked, read, scratch_path, stored
+from .common import bound_batches, digest_columns, frugal, join_checked, read, scratch_path, stored
 
 MODEL = "piece_bpe_32k.model"
 MAX_TOKENS = 4096
@@ -53,7 +53,7 @@ def encode_misses(misses: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(x) for x in ids], pa.int64())],
                                              ["digest", "n_tokens"])
 
-    return misses.select("digest", "text").mapInArrow(count, "digest binary, n_tokens bigint")
+    return misses.select("digest", "text").mapInArrow(frugal(count), "digest binary, n_tokens bigint")
 
 
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -78,6 +78,7 @@ def count_tokens(docs: DataFrame, cache: str, model: str = MODEL, key: str = "do
     table: no rows, and the cache gains nothing.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     version = tokenizer_version(model_path(model))
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(digest_columns(F.col(text)).alias("digest"), body.alias("text"))

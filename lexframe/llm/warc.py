@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, number_repeats, read, scratch_path, stored
+from .common import bound_batches, frugal, join_checked, number_repeats, read, scratch_path, stored
 
 LEAST_SHARED = 100          #: payload bytes from which equal payloads become revisits
 SAMPLE_BYTES = 2 << 20      #: first records of an archive that its dictionary is trained on
@@ -186,7 +186,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
                                          ["name", "records"])
 
     cols = ["_key", "_url", "_payload", "_digest", "_first", "_revisit"]
-    return stored(planned.select(*cols).mapInArrow(write, "name string, records bigint"), "warc-manifest")
+    return stored(planned.select(*cols).mapInArrow(frugal(write), "name string, records bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -222,7 +222,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
     # one archive is one unit of work: deal the names out, not the payloads
     n = max(1, manifest.count())
-    return manifest.select("name").repartition(min(n, 10_000)).mapInArrow(load, READ)
+    return manifest.select("name").repartition(min(n, 10_000)).mapInArrow(frugal(load), READ)
 
 
 def round_trip(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
@@ -232,6 +232,7 @@ def round_trip(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     Null payload: an empty one (always a response). Null url: no target header.
     Null key: no page header, read back as null. Empty table: no archives.
     """
+    bound_batches(pages.sparkSession)
     manifest = write_archives(plan_records(pages, key, url, payload), folder)
     return read_archives(manifest, folder)
 
