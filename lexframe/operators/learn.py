@@ -1,8 +1,9 @@
 """Classifiers, search and evaluation on Spark ML.
 
-Features: tokens -> CountVectorizer(minDF) -> tf * (idf + 1) -> l2
-(scikit-style smooth idf with the +1, built from the fitted IDF vector), or
-raw n-gram counts with optional l2. Every fit/transform is a distributed
+Features: tokens (or n-grams) -> hashed counts -> tf * (idf + 1) -> l2
+(scikit-style smooth idf with the +1), or the counts alone. Terms are hashed
+into a fixed number of features, so no vocabulary reaches the driver: it holds
+one document frequency for each feature. Every fit/transform is a distributed
 Spark job; the driver only holds models and small parameter maps.
 """
 
@@ -11,8 +12,9 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -20,57 +22,58 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
+from ..session import scratch_path
 from . import metrics as M
 
 # ---------------------------------------------------------------------------
 # Search grids per classifier (scikit-learn names -> values).
+# Spark's trees go to depth 30, so the forest's depths are the supported ones.
 # ---------------------------------------------------------------------------
 GRIDS = {
     "LinearSVC": {"C": [0.1, 1, 10, 100]},
     "LogisticRegression": {"C": [0.1, 1, 10, 100], "penalty": ["none", "l2"], "max_iter": [100, 250, 500]},
-    "RandomForest": {"n_estimators": [100, 200, 300], "max_features": ["sqrt", "log2"], "max_depth": [10, 50, 100, None]},
+    "RandomForest": {"n_estimators": [100, 200, 300], "max_features": ["sqrt", "log2"], "max_depth": [10, 20, 30]},
     "GradientBoosting": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.02, 0.05, 0.1, 0.2],
                          "gamma": [0, 0.1, 0.2], "max_depth": [3, 6, 9]},
 }
-TEXT_GRID = {"min_df": [2, 5, 10], "norm": [None, "l2"]}
-MAX_TREE_DEPTH = 30  # Spark's limit; deeper / unlimited depths map here
-TOL = 1e-4  # scikit-learn's default stopping tolerance for both linear models
+# The text side of the same search: every draw takes one value of each.
+TEXT_GRID = {
+    "stopwords": [False, True], "numbers": [False, True], "lemmatise": [False, True],
+    "ngram_range": [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 3), (2, 4), (3, 3), (3, 4), (4, 4)],
+    "min_df": [2, 5, 10], "norm": [None, "l2"],
+}
+MAX_TREE_DEPTH = 30     # Spark's limit
+TOL = 1e-4              # scikit-learn's default stopping tolerance for both linear models
+FEATURES = 1 << 14      # hashed features of the linear models: every iteration sends a gradient of that size a partition
+TREE_FEATURES = 1 << 12     # of the tree ensembles, whose split statistics are kept for every feature
+TRAIN_PARTITIONS = 512  # at most so many partitions of training rows, as every iteration is a job over all of them
 
 
-def vocabulary_size(train: DataFrame, tokens: str, min_df: int) -> int:
-    """Exact number of terms in at least ``min_df`` training documents (one
-    distributed count), so the vectoriser keeps every such term."""
-    terms = train.select(F.explode_outer(F.array_distinct(tokens)).alias("t")).filter(F.col("t").isNotNull())
-    return max(1, terms.groupBy("t").count().filter(F.col("count") >= min_df).count())
+def search_tokens(text: Column, stopwords: bool = False, numbers: bool = False, lemmatise: bool = False,
+                  ngram_range: tuple[int, int] = (1, 1)) -> Column:
+    """The terms of a text under one draw of ``TEXT_GRID``."""
+    tokens = TX.clean_tokens(text, stopwords=stopwords, numbers=numbers, lemmatise=lemmatise)
+    return tokens if tuple(ngram_range) == (1, 1) else TX.ngrams(tokens, *ngram_range)
 
 
 def text_features(train: DataFrame, tokens: str, out: str = "text_vec", min_df: int = 2, use_idf: bool = True,
-                  norm: str | None = "l2", vocab_size: int | None = None) -> PipelineModel:
-    """Fit the sparse text featuriser on ``train`` only (no test leakage).
-    The vocabulary is every term with document frequency >= ``min_df``
-    (no top-k cap unless ``vocab_size`` is given)."""
-    size = vocab_size or vocabulary_size(train, tokens, min_df)
-    cv = CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=float(min_df), vocabSize=size).fit(train)
-    stages = [cv]
-    col = "__tf"
-    if use_idf:
-        idf = IDF(inputCol="__tf", outputCol="__idf").fit(cv.transform(train))
-        plus1 = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])
-        stages.append(ElementwiseProduct(scalingVec=plus1, inputCol="__tf", outputCol="__w"))
-        col = "__w"
+                  norm: str | None = "l2", features: int = FEATURES) -> PipelineModel:
+    """Fit the sparse text featuriser on ``train`` only (no test leakage):
+    features in fewer than ``min_df`` training documents weigh nothing."""
+    tf = HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features)
+    idf = IDF(inputCol="__tf", outputCol="__idf", minDocFreq=min_df).fit(tf.transform(train))
+    weight = [(v + 1.0 if use_idf else 1.0) if n >= min_df else 0.0 for v, n in zip(idf.idf.toArray(), idf.docFreq)]
+    stages = [tf, ElementwiseProduct(scalingVec=Vectors.dense(weight), inputCol="__tf",
+                                     outputCol="__w" if norm == "l2" else out)]
     if norm == "l2":
-        stages.append(Normalizer(p=2.0, inputCol=col, outputCol=out))
-    else:
-        stages.append(ElementwiseProduct(scalingVec=Vectors.dense([1.0] * len(cv.vocabulary)), inputCol=col,
-                                         outputCol=out))
+        stages.append(Normalizer(p=2.0, inputCol="__w", outputCol=out))
     return PipelineModel(stages=stages)
 
 
@@ -87,20 +90,25 @@ def estimator(algo: str, params: dict, n_train: int, features: str = "features",
         return LogisticRegression(featuresCol=features, labelCol=label, regParam=reg, elasticNetParam=0.0,
                                   maxIter=int(p.get("max_iter", 100)), tol=TOL)
     if algo == "RandomForest":
-        depth = p.get("max_depth")
-        depth = MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
+        depth = tree_depth(p.get("max_depth", MAX_TREE_DEPTH))
         return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=int(p.get("n_estimators", 100)),
                                       featureSubsetStrategy=p.get("max_features", "sqrt"), maxDepth=depth, seed=42)
     if algo == "GradientBoosting":
         return GBTClassifier(featuresCol=features, labelCol=label, maxIter=int(p.get("n_estimators", 100)),
                              stepSize=float(p.get("learning_rate", 0.1)), minInfoGain=float(p.get("gamma", 0.0)),
-                             maxDepth=min(int(p.get("max_depth", 3)), MAX_TREE_DEPTH), seed=42)
+                             maxDepth=tree_depth(p.get("max_depth", 3)), seed=42)
     if algo == "MLP":
         return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=p["layers"],
                                               maxIter=int(p.get("max_iter", 100)), seed=42)
     raise ValueError(algo)
 
 
+def tree_depth(depth: int | None) -> int:
+    if depth is None or int(depth) > MAX_TREE_DEPTH:
+        raise ValueError(f"tree depth {depth}: at most {MAX_TREE_DEPTH} is supported")
+    return int(depth)
+
+
 def score_column(pred: DataFrame) -> Column:
     """Positive-class score: probability when the model has one, else the
     raw margin (M11)."""
@@ -128,42 +136,70 @@ def sample_grid(grid: dict, draws: int, seed: int = 42) -> list[dict]:
     return combos if draws >= len(combos) else rng.sample(combos, draws)
 
 
-def cross_validate(train: DataFrame, algo: str, grid: dict, draws: int, fold_col: str = "fold",
-                   features: str = "features", label: str = "label", parallelism: int = 4, seed: int = 42):
-    """Random search (M6): seeded draws, k folds given by ``fold_col``
-    (stratified, W12), F1 of the positive class as the refit metric. Returns
-    (best params, best mean CV F1, fitted model on all of ``train``)."""
-    n = train.count()
-    draws_ = sample_grid(grid, draws, seed)
-    base = estimator(algo, draws_[0], n, features, label)
-    maps = []
-    for d in draws_:
-        est = estimator(algo, d, n, features, label)
-        maps.append({base.getParam(p.name): est.getOrDefault(p) for p in est.params
-                     if est.isSet(p) and base.hasParam(p.name)})
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
-    scores = model.avgMetrics
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    return draws_[best], float(scores[best]), model.bestModel
-
-
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
-    """Partitions sized to the data for iterative optimisers: every
-    iteration is a job over all partitions, each shipping a
-    feature-dimension gradient, so a small training set in many
-    partitions pays that cost many times. Large sets keep ~100k rows per
-    partition (coalesce: no shuffle)."""
-    want = max(1, -(-n_rows // rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+def stratified_parts(df: DataFrame, k: int, fold_col: str = "fold") -> list[tuple[DataFrame, DataFrame]]:
+    """(train, validation) of every fold of a frame with a fold column."""
+    return [(df.filter(F.col(fold_col) != i), df.filter(F.col(fold_col) == i)) for i in range(k)]
+
+
+def expanding_parts(folds: DataFrame, k: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, validation) of every expanding fold: rows ``fold, role`` of
+    :func:`sampling.timeseries_folds` (W13)."""
+    of = lambda i, r: folds.filter((F.col("fold") == i) & (F.col("role") == r)).drop("fold", "role")
+    return [(of(i, "train"), of(i, "test")) for i in range(k)]
+
+
+SCORES = ["accuracy", "precision", "recall", "f1", "mcc", "auc"]
+
+
+def fit_draw(train: DataFrame, algo: str, draw: dict, text: str = "text", aux: Sequence[str] = (),
+             label: str = "label"):
+    """Fit one draw (text and classifier parameters) on ``train``; returns a
+    function that predicts another frame. Features come from ``train`` only."""
+    shape = {k: draw[k] for k in ("stopwords", "numbers", "lemmatise", "ngram_range") if k in draw}
+    terms = lambda df: df.withColumn("__terms", search_tokens(F.col(text), **shape))
+    width = TREE_FEATURES if algo in ("RandomForest", "GradientBoosting") else FEATURES
+    feats = text_features(terms(train), "__terms", "__text", int(draw.get("min_df", 2)), draw.get("use_idf", True),
+                          draw.get("norm", "l2"), width)
+    prep = lambda df: assemble(feats.transform(terms(df)), ["__text", *aux])
+    rows = prep(train).select("features", label).coalesce(TRAIN_PARTITIONS).persist()
+    try:
+        model = estimator(algo, draw, rows.count(), "features", label).fit(rows)
+    finally:
+        rows.unpersist()
+    return lambda df: model.transform(prep(df))
+
+
+def cross_validate(parts: list[tuple[DataFrame, DataFrame]], algo: str, draws: Sequence[dict], key: str,
+                   text: str = "text", aux: Sequence[str] = (), label: str = "label", parallelism: int = 4) -> DataFrame:
+    """Random search (M6): every draw on every fold, the features fitted anew
+    in each. Validation predictions are written once, and one grouped job
+    scores all of them: ``draw`` and the mean over the folds of ``SCORES``."""
+    spark = parts[0][0].sparkSession
+    path = scratch_path(spark, "search")
+
+    def one(job: tuple[int, int]) -> None:
+        d, f = job
+        pred = fit_draw(parts[f][0], algo, draws[d], text, aux, label)(parts[f][1])
+        (pred.select(F.lit(d).alias("draw"), F.lit(f).alias("fold"), F.col(key).cast("string").alias("key"),
+                     F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"),
+                     score_column(pred).alias("score")).write.mode("append").parquet(path))
+
+    with ThreadPool(parallelism) as pool:
+        pool.map(one, [(d, f) for d in range(len(draws)) for f in range(len(parts))], chunksize=1)
+    p = spark.read.parquet(path)
+    m = M.binary_metrics(p, "label", "pred", ["draw", "fold"]).join(M.roc_auc(p, "label", "score", ["draw", "fold"]),
+                                                                   ["draw", "fold"])
+    return m.groupBy("draw").agg(*[F.avg(s).alias(s) for s in SCORES])
+
+
+def best_draw(scores: DataFrame, by: str = "f1") -> tuple[int, dict]:
+    """The draw with the best mean score (the first of equal ones), with its
+    scores. One row reaches the driver."""
+    best = scores.orderBy(F.col(by).desc(), "draw").limit(1).first()
+    return best["draw"], {s: best[s] for s in SCORES}
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     """Text vector + auxiliary columns into one feature vector."""
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
-
-def pipeline(stages) -> Pipeline:
-    return Pipeline(stages=list(stages))

@@ -17,13 +17,20 @@ from .catalog import query, t
 from .scalars import _PROV_SQL, provision_lists
 from .windows import CASES_SQL, HK, cases
 
-P_OPEN = "<p(?:\\s[^>]*)?>"
+# The oracle's patterns have no look-ahead: a tag's attributes may not end with a slash there.
+P_OPEN = "<p(?:\\s(?:[^>/]|/[^>])*)?>"
+
+
+def _decode_sql(s: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'" * 2), ("&amp;", "&")):
+        s = f"replace({s}, '{name}', '{char}')"
+    return s
 
 
 @query("markup_attribute", """
-SELECT page_id, regexp_extract(html, '<html(?:\\s[^>]*)?\\slang="([^"]*)"', 1) AS lang,
-  regexp_extract(html, '<meta(?:\\s[^>]*)?\\scharset="([^"]*)"', 1) AS charset,
-  regexp_extract(html, '<body(?:\\s[^>]*)?\\sclass="([^"]*)"', 1) AS body_class
+SELECT page_id, regexp_extract(regexp_extract(html, '<html[\\s>][^>]*', 0), '\\slang="([^"]*)"', 1) AS lang,
+  regexp_extract(regexp_extract(html, '<meta[\\s>][^>]*', 0), '\\scharset="([^"]*)"', 1) AS charset,
+  regexp_extract(regexp_extract(html, '<body[\\s>][^>]*', 0), '\\sclass="([^"]*)"', 1) AS body_class
 FROM pages
 """)
 def markup_attribute(spark, sf):
@@ -34,7 +41,8 @@ def markup_attribute(spark, sf):
 
 
 @query("markup_tag_text", lambda: f"""
-WITH x AS (SELECT page_id, list_filter(regexp_extract_all(html, '{P_OPEN}([^<]*)', 1), lambda s: s <> '') AS items FROM pages)
+WITH x AS (SELECT page_id, list_transform(list_filter(regexp_extract_all(html, '{P_OPEN}([^<]*)', 1), lambda s: s <> ''),
+                                           lambda s: {_decode_sql('s')}) AS items FROM pages)
 SELECT page_id, len(items) AS n_items, md5(array_to_string(items, '|')) AS digest FROM x
 """)
 def markup_tag_text(spark, sf):
@@ -46,7 +54,8 @@ def markup_tag_text(spark, sf):
 WITH b AS (SELECT page_id, regexp_extract_all(html, '(?s)<article(?:\\s[^>]*)?>(.*?)</article>', 1) AS blocks,
                   regexp_extract_all(html, '<article((?:\\s[^>]*)?)>', 1) AS opens FROM pages),
 x AS (SELECT page_id, flatten(list_transform(blocks, lambda blk:
-         list_filter(regexp_extract_all(blk, '{P_OPEN}([^<]*)', 1), lambda s: s <> ''))) AS items,
+         list_transform(list_filter(regexp_extract_all(blk, '{P_OPEN}([^<]*)', 1), lambda s: s <> ''),
+                        lambda s: {_decode_sql('s')}))) AS items,
          list_transform(opens, lambda o: regexp_extract(o, '\\sclass="([^"]*)"', 1)) AS attrs FROM b)
 SELECT page_id, len(items) AS n_items, md5(array_to_string(items, '|')) AS digest, array_to_string(attrs, ',') AS attrs FROM x
 """)

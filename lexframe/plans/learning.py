@@ -5,46 +5,60 @@ the linear term contributions, which have SQL oracles."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorSizeHint
-from pyspark.ml.functions import array_to_vector
+import ast
+
+from pyspark.ml.feature import HashingTF, StandardScaler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..operators import learn as L
 from ..operators import sampling as S
-from ..operators.features import mean_vectors, tfidf_long
+from ..operators.features import mean_vectors, one_hot, tfidf_long
 from ..operators.reports import best_per_group, top_k
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
+from ..sources import files as FS
 from .catalog import docs, query, t
 from .sqlbits import clean_tokens_sql
 from .text import word_vectors
 from .windows import TEST_YEARS
 
-TOKENS = "tokens"
-
-
 def text_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents, stratified 80/20 split by label (W7), tokens once."""
-    # tokens are computed map-side, so the label join moves tokens, not text
-    d = docs(spark, sf).select("doc_id", "lang", TX.clean_tokens(F.col("text")).alias(TOKENS))
+    """Labelled documents with a stratified 80/20 split by label (W7). Labels
+    are split on their keys; the texts join the split and are not shuffled
+    while the labels are few enough for Spark to broadcast."""
     lab = t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return S.split_random(d.join(lab, "doc_id"), "label", "doc_id", 0.2)
+    return docs(spark, sf).select("doc_id", "lang", "text").join(S.split_random(lab, "label", "doc_id", 0.2), "doc_id")
+
+
+LANGS = ["de", "en", "es", "fr"]
+
+
+def with_aux(df: DataFrame, domain=LANGS) -> tuple[DataFrame, list[str]]:
+    """Auxiliary columns: one-hot language over a declared domain, so an
+    unknown value is all zeros (P22)."""
+    return df.select("*", *one_hot("lang", domain)), [f"lang_{v}" for v in domain]
 
 
-def _fit_eval(spark, sf, algo: str, params: dict, input_representation: str = "TF-IDF") -> DataFrame:
-    c = cut_lineage(text_cases(spark, sf))
-    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
-    feats = L.text_features(train, TOKENS, "features", min_df=2, use_idf=input_representation == "TF-IDF")
-    # the training vectors feed every optimiser iteration: keep them cached
-    n_train = train.count()
-    tr, te = L.right_size(feats.transform(train), n_train).persist(), feats.transform(test)
-    model = L.estimator(algo, params, n_train).fit(tr)
-    tr.unpersist()  # the returned metrics need the model, not the cached rows
-    m = L.evaluate(model.transform(te))
-    return m.select(F.lit(algo).alias("algo"), F.lit(input_representation).alias("input_representation"),
-                    F.lit(n_train).alias("train_size"), F.lit(te.count()).alias("test_size"),
-                    *[F.round(x, 6).alias(x) for x in ("accuracy", "precision", "recall", "f1", "mcc", "auc")])
+def parts_of(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    c = cut_lineage(c)
+    return c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
+
+
+NGRAMS = {"ngram_range": (1, 2), "use_idf": False}
+
+
+def _fit_eval(spark, sf, algo: str, params: dict, input_representation: str = "TF-IDF", aux: bool = False) -> DataFrame:
+    c, extra = with_aux(text_cases(spark, sf))
+    train, test = parts_of(c)
+    draw = params | ({} if input_representation == "TF-IDF" else NGRAMS)
+    pred = L.fit_draw(train, algo, draw, aux=extra if aux else [])(test)
+    return L.evaluate(pred).select(
+        F.lit(algo).alias("algo"), F.lit(input_representation).alias("input_representation"),
+        F.lit(train.count()).alias("train_size"), F.lit(test.count()).alias("test_size"),
+        *[F.round(x, 6).alias(x) for x in L.SCORES])
 
 
 @query("fit_linear_svc")
@@ -54,13 +68,13 @@ def fit_linear_svc(spark, sf):
 
 @query("fit_logistic")
 def fit_logistic(spark, sf):
-    return _fit_eval(spark, sf, "LogisticRegression", {"C": 10, "penalty": "l2", "max_iter": 100})
+    """Text and one-hot language together."""
+    return _fit_eval(spark, sf, "LogisticRegression", {"C": 10, "penalty": "l2", "max_iter": 100}, aux=True)
 
 
 @query("fit_random_forest")
 def fit_random_forest(spark, sf):
-    return _fit_eval(spark, sf, "RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": None},
-                     "N-Grams")
+    return _fit_eval(spark, sf, "RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": 30}, "N-Grams")
 
 
 @query("fit_gbt")
@@ -69,14 +83,32 @@ def fit_gbt(spark, sf):
                                                      "max_depth": 3}, "N-Grams")
 
 
+def record(metrics: DataFrame, mode: str, algo: str, params: dict, experiment: str, case_mode: str, representation: str,
+           train_years: str, test_year: str, train_size: int, test_size: int, opposition: bool = False) -> DataFrame:
+    """The 17-field evaluation record."""
+    texts = {k: F.lit(v) for k, v in (
+        ("mode", mode), ("algo", algo), ("experiment", experiment), ("case_mode", case_mode),
+        ("dataset_label", f"{case_mode}_{experiment}"), ("input_representation", representation), ("embedding", "none"),
+        ("model_name", algo), ("train_years", train_years), ("test_year", test_year))}
+    pairs = [F.lit(x) for k, v in sorted(params.items()) for x in (k, str(v))]
+    history = F.array().cast("array<struct<epoch:int,loss:double>>")
+    return metrics.select(
+        F.current_timestamp().cast("string").alias("timestamp_utc"), *[c.alias(k) for k, c in texts.items()],
+        F.lit(opposition).alias("opposition"), F.lit(None).cast("bigint").alias("max_context_length"),
+        F.lit(train_size).cast("bigint").alias("train_size"), F.lit(test_size).cast("bigint").alias("test_size"),
+        F.create_map(*pairs).alias("params"), history.alias("epoch_history"),
+        F.struct("accuracy", "f1", "precision", "recall", "mcc", "auc").alias("test_metrics"))
+
+
 @query("evaluate_model")
 def evaluate_model(spark, sf):
     """Full-test evaluation record (M12/M13): fit on train, score test."""
-    r = _fit_eval(spark, sf, "LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 250})
-    return r.select(F.current_timestamp().alias("timestamp_utc"), F.lit("full_test_ml").alias("mode"), "algo",
-                    F.lit("1").alias("experiment"), F.lit("pf").alias("case_mode"), "input_representation",
-                    "train_size", "test_size", F.struct("accuracy", "f1", "precision", "recall", "mcc", "auc")
-                    .alias("test_metrics"))
+    c, extra = with_aux(text_cases(spark, sf))
+    train, test = parts_of(c)
+    draw = {"C": 1, "penalty": "l2", "max_iter": 250, "ngram_range": (1, 1), "min_df": 2, "norm": "l2"}
+    m = L.evaluate(L.fit_draw(train, "LogisticRegression", draw, aux=extra)(test))
+    return record(m, "full_test_ml", "LogisticRegression", draw, "1", "pf", "TF-IDF", "all", "all", train.count(),
+                  test.count())
 
 
 @query("standard_scale", """
@@ -96,86 +128,122 @@ def standard_scale(spark, sf):
     return j.select("vec_id", F.col("dim").cast("int").alias("dim"), F.round(val, 6).alias("value"))
 
 
+DRAWS = 50
+SEARCH = {"C": L.GRIDS["LogisticRegression"]["C"], "penalty": ["none", "l2"], "max_iter": [100, 250, 500], **L.TEXT_GRID}
+
+
+def search_records(spark, sf, draws: int, folds: int = 3) -> tuple[DataFrame, DataFrame, list[dict], DataFrame]:
+    """(train, test, draws, scores) of a random search over text and classifier
+    parameters on the training split; the test split is returned unread."""
+    train, test = parts_of(text_cases(spark, sf))
+    train = cut_lineage(S.stratified_folds(train, "label", "doc_id", folds))
+    some = L.sample_grid(SEARCH, draws)
+    return train, test, some, L.cross_validate(L.stratified_parts(train, folds), "LogisticRegression", some, "doc_id")
+
+
 @query("random_search")
 def random_search(spark, sf):
-    """M6: seeded draws from the logistic grid, 3 stratified folds, refit on
-    F1; the text featuriser is fitted once on the training split."""
-    c = cut_lineage(S.stratified_folds(text_cases(spark, sf), "label", "doc_id", 3))
-    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
-    feats = L.text_features(train, TOKENS, "features", min_df=2)
-    tr = L.right_size(feats.transform(train), train.count()).persist()
-    best, cv_f1, model = L.cross_validate(tr, "LogisticRegression", L.GRIDS["LogisticRegression"], draws=10)
-    tr.unpersist()
-    m = L.evaluate(model.transform(feats.transform(test)))
-    params = F.create_map(*[F.lit(x) for k, v in sorted(best.items()) for x in (k, str(v))])
+    """M6: 50 seeded draws of text and classifier parameters, 3 stratified
+    folds with the features fitted in each, six scores, refit on the best F1;
+    the test split is read for the refitted model alone."""
+    train, test, some, scores = search_records(spark, sf, DRAWS)
+    best, cv = L.best_draw(scores)
+    m = L.evaluate(L.fit_draw(train, "LogisticRegression", some[best])(test))
+    params = F.create_map(*[F.lit(x) for k, v in sorted(some[best].items()) for x in (k, str(v))])
     return m.select(F.lit("LogisticRegression").alias("algo"), params.alias("best_params"),
-                    F.lit(round(cv_f1, 6)).alias("best_score_cv"), "f1", "mcc", "auc")
+                    *[F.lit(round(v, 6)).alias(f"cv_{k}") for k, v in cv.items()],
+                    *[F.round(x, 6).alias(x) for x in L.SCORES])
+
+
+def dated_cases(spark, sf) -> DataFrame:
+    """Labelled documents with a date: that of the order with the document's
+    number."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("date"))
+    lab = t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).join(o, "doc_id")
+    return docs(spark, sf).select("doc_id", "lang", "text").join(lab.withColumn("year", F.year("date")), "doc_id")
+
+
+@query("temporal_search")
+def temporal_search(spark, sf):
+    """Experiment 2's search: expanding folds in date order (W13) on the rows
+    before the cut year, scores of every draw."""
+    train = cut_lineage(dated_cases(spark, sf).filter(F.col("year") < 2000))
+    folds = cut_lineage(S.timeseries_folds(train, [F.col("date").asc_nulls_last(), F.col("doc_id").asc()], 3))
+    some = [{"C": c, "penalty": "l2", "max_iter": 100, "ngram_range": n} for c in (0.1, 10) for n in ((1, 1), (1, 2))]
+    scores = L.cross_validate(L.expanding_parts(folds, 3), "LogisticRegression", some, "doc_id")
+    return scores.select("draw", *[F.round(x, 6).alias(x) for x in L.SCORES])
 
 
 def doc_vectors(spark, sf) -> DataFrame:
-    """Mean word vector per labelled document; none known -> zeros."""
-    d = docs(spark, sf).join(t(spark, sf, "labels"), "doc_id")
-    toks = d.select("doc_id", TX.explode_tokens(TX.clean_tokens(F.col("text"))).alias("term"))
+    """Mean word vector per labelled document; none known -> zeros. Texts
+    become tokens before the labels are joined."""
+    lab = t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    toks = docs(spark, sf).join(lab, "doc_id", "left_semi").select(
+        "doc_id", TX.explode_tokens(TX.clean_tokens(F.col("text"))).alias("term"))
     toks = toks.filter(F.col("term").isNotNull())
     m = mean_vectors(toks, "doc_id", word_vectors(spark, sf), "word", "embedding")
     # (doc, dim) rows -> one 64-d array per document (bounded by the dimension)
     v = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p"))
     v = v.select("doc_id", F.transform("p", lambda x: x["value"]).alias("vec"))
-    base = d.select("doc_id", "lang", F.col("quality").cast("double").alias("label"))
+    base = docs(spark, sf).select("doc_id", "lang").join(lab, "doc_id")
     j = base.join(v, "doc_id", "left")
-    return j.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), 64)))
+    width = t(spark, sf, "embeddings").select(F.max(F.size("embedding"))).first()[0] or 1
+    return j.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), width)))
 
 
 @query("fit_embedding")
 def fit_embedding(spark, sf):
     """M8: document embeddings -> standardise -> logistic regression."""
-    c = S.split_random(doc_vectors(spark, sf), "label", "doc_id", 0.2).withColumn("raw", array_to_vector("vec"))
-    c = cut_lineage(c)
-    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
+    train, test = parts_of(S.split_random(doc_vectors(spark, sf), "label", "doc_id", 0.2).withColumn(
+        "raw", array_to_vector("vec")))
     sc = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-    n = train.count()
-    model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(
-        L.right_size(sc.transform(train), n).persist())
+    rows = sc.transform(train).persist()
+    model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, rows.count()).fit(rows)
+    rows.unpersist()
     m = L.evaluate(model.transform(sc.transform(test)))
     return m.select(F.lit("LogisticRegression").alias("algo"), F.lit("word2vec").alias("embedding"), "f1", "mcc", "auc")
 
 
 @query("fused_classifier")
 def fused_classifier(spark, sf):
-    """M16 re-aimed: precomputed document embedding + one-hot language
-    (unknown -> all zeros) -> hidden layer of 256 -> 2 outputs."""
-    c = S.split_random(doc_vectors(spark, sf), "label", "doc_id", 0.2).withColumn("emb", array_to_vector("vec"))
-    c = cut_lineage(c)
-    train, test = c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")
-    idx = StringIndexer(inputCol="lang", outputCol="lang_i", handleInvalid="keep").fit(train)
-    enc = OneHotEncoder(inputCols=["lang_i"], outputCols=["lang_v"], handleInvalid="keep", dropLast=True)
-    tr0 = idx.transform(train)
-    ohe = enc.fit(tr0)
-    hint = VectorSizeHint(inputCol="emb", size=64, handleInvalid="error")
-    prep = lambda df: L.assemble(hint.transform(ohe.transform(idx.transform(df))), ["emb", "lang_v"])
-    tr = L.right_size(prep(train), train.count()).persist()
-    width = len(tr.select("features").first()["features"])
-    model = L.estimator("MLP", {"layers": [width, 256, 2], "max_iter": 100}, 0).fit(tr)
-    tr.unpersist()
+    """M16 re-aimed: precomputed document embedding + one-hot language over
+    the declared domain (unknown -> all zeros) -> hidden layer of 256 -> 2
+    outputs."""
+    c, extra = with_aux(S.split_random(doc_vectors(spark, sf), "label", "doc_id", 0.2))
+    train, test = parts_of(c.withColumn("emb", array_to_vector("vec")))
+    size = train.select(F.max(F.size("vec"))).first()[0] or 1
+    hint = VectorSizeHint(inputCol="emb", size=size, handleInvalid="error")
+    prep = lambda df: L.assemble(hint.transform(df), ["emb", *extra])
+    rows = prep(train).persist()
+    width = size + len(extra)
+    model = L.estimator("MLP", {"layers": [width, 256, 2], "max_iter": 100}, 0).fit(rows)
+    rows.unpersist()
     m = L.evaluate(model.transform(prep(test)))
     return m.select(F.lit("MLP").alias("algo"), F.lit(width).alias("input_width"), "f1", "mcc", "auc")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    """M17 re-aimed: forest feature importances joined to the vocabulary,
-    top 20 terms."""
-    c = cut_lineage(text_cases(spark, sf))
-    train = c.filter(F.col("split") == "train")
-    feats = L.text_features(train, TOKENS, "features", min_df=5, use_idf=False)
-    model = L.estimator("RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": 10},
-                        0).fit(L.right_size(feats.transform(train), train.count()).persist())
-    vocab = feats.stages[0].vocabulary
-    imp = model.featureImportances
-    pairs = [(vocab[i], float(v)) for i, v in zip(imp.indices, imp.values)]
-    df = spark.createDataFrame(pairs, "term string, importance double") if pairs else spark.createDataFrame(
-        [], "term string, importance double")
-    return top_k(df, [F.col("importance").desc(), F.col("term").asc()], 20)
+    """M17 re-aimed: forest feature importances, the top 20 features with the
+    commonest term that hashes to each."""
+    train, _ = parts_of(text_cases(spark, sf))
+    terms = train.withColumn("tokens", TX.clean_tokens(F.col("text")))
+    feats = L.text_features(terms, "tokens", "features", min_df=5, use_idf=False, features=L.TREE_FEATURES)
+    rows = feats.transform(terms).select("features", "label").persist()
+    model = L.estimator("RandomForest", {"n_estimators": 100, "max_features": "sqrt", "max_depth": 10}, 0).fit(rows)
+    rows.unpersist()
+    imp = model.featureImportances  # one weight for each of TREE_FEATURES features
+    top = sorted(zip(imp.indices.tolist(), imp.values.tolist()), key=lambda p: (-p[1], p[0]))[:20]
+    best = spark.createDataFrame(top, "feature int, importance double")
+    one = terms.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n"))
+    hashed = HashingTF(inputCol="one", outputCol="h", numFeatures=L.TREE_FEATURES).transform(
+        one.withColumn("one", F.array("term")))
+    place = F.array_position(vector_to_array("h"), 1.0) - 1
+    found = hashed.select("term", "n", place.cast("int").alias("feature")).join(F.broadcast(best), "feature")
+    name = found.groupBy("feature", "importance").agg(F.min(F.struct(-F.col("n"), F.col("term").alias("term"))).alias("t"))
+    return top_k(name.select(F.col("t.term").alias("term"), "importance"),
+                 [F.col("importance").desc(), F.col("term").asc()], 20)
 
 
 @query("term_contributions", lambda: f"""
@@ -198,8 +266,9 @@ def term_contributions(spark, sf):
     """M18 re-aimed: a linear model's per-term contributions coef * x, the
     top 5 per document by magnitude. The model is the closed-form
     log-count-ratio (naive Bayes) model, so the contributions are exact."""
-    d = docs(spark, sf).join(t(spark, sf, "labels"), "doc_id").select(
-        "doc_id", "quality", TX.clean_tokens(F.col("text")).alias("tok"))
+    lab = t(spark, sf, "labels").select("doc_id", "quality")
+    d = docs(spark, sf).join(lab, "doc_id", "left_semi").select("doc_id", TX.clean_tokens(F.col("text")).alias("tok"))
+    d = d.join(lab, "doc_id")
     w = tfidf_long(d, "doc_id", "tok", min_df=5)
     present = d.select("doc_id", "quality", TX.explode_tokens(F.array_distinct("tok")).alias("term"))
     present = present.filter(F.col("term").isNotNull())
@@ -216,62 +285,60 @@ def term_contributions(spark, sf):
 
 
 # -- M10 / M14: records -> refit; sliding windows ------------------------------------------
-def order_cases(spark, sf) -> DataFrame:
-    o = t(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
-    return o.select("o_orderkey", F.year("o_orderdate").alias("year"), "o_orderpriority",
-                    F.log1p("o_totalprice").alias("log_price"),
-                    F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"))
+SEARCH_RECORD = T.StructType([
+    T.StructField("timestamp_utc", T.StringType()), T.StructField("algo", T.StringType()),
+    T.StructField("case_mode", T.StringType()), T.StructField("best_score_cv", T.DoubleType()),
+    T.StructField("best_params", T.MapType(T.StringType(), T.StringType())),
+])
 
 
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
-def order_features(df: DataFrame) -> DataFrame:
-    aux = [(F.col("o_orderpriority") == p).cast("double").alias(f"prio_{i}") for i, p in enumerate(PRIORITIES)]
-    return L.assemble(df.select("*", *aux), ["log_price"] + [f"prio_{i}" for i in range(len(PRIORITIES))])
+def parsed(params: dict[str, str]) -> dict:
+    """A draw from the strings of a stored record."""
+    return {k: None if v == "None" else ast.literal_eval(v) if v[:1] in "(-0123456789TF" else v for k, v in params.items()}
 
 
 @query("refit_from_record")
 def refit_from_record(spark, sf):
-    """Evaluate a small grid, keep the best record (W14), rebuild the
-    estimator from the record's parameter map and refit on all training
-    rows."""
-    c = cut_lineage(S.split_random(order_cases(spark, sf), "label", "o_orderkey", 0.2))
-    train = order_features(c.filter(F.col("split") == "train"))
-    n = train.count()
-    train = L.right_size(train, n).persist()
-    test = order_features(c.filter(F.col("split") == "test"))
-    recs = []
-    for params in L.sample_grid({"C": [0.1, 10], "max_iter": [50, 100], "penalty": ["l2"]}, 4):
-        m = L.evaluate(L.estimator("LogisticRegression", params, n).fit(train).transform(test)).first()
-        recs.append((str(params["C"]), str(params["max_iter"]), float(m["f1"])))
-    r = spark.createDataFrame(recs, "C string, max_iter string, f1 double").withColumn("algo", F.lit("LogisticRegression"))
-    best = best_per_group(r, ["algo"], [-F.col("f1"), F.col("C"), F.col("max_iter")]).first()
-    params = {"C": float(best["C"]), "max_iter": int(best["max_iter"]), "penalty": "l2"}
-    m = L.evaluate(L.estimator("LogisticRegression", params, n).fit(train).transform(test))
-    return m.select(F.lit("LogisticRegression").alias("algo"), F.lit(best["C"]).alias("C"),
-                    F.lit(best["max_iter"]).alias("max_iter"), "f1", "mcc", "auc")
+    """Two searches append their best record to the store; the best
+    stored record by cross-validation (of equal ones the latest) is read back,
+    its vectoriser and classifier are rebuilt and fitted on the training split.
+    The test split is read for that model alone."""
+    path = scratch_path(spark, "records")
+    for draws in (2, 4):
+        train, test, some, scores = search_records(spark, sf, draws, folds=2)
+        best, cv = L.best_draw(scores)
+        row = (str(draws), "LogisticRegression", "pf", float(cv["f1"]), {k: str(v) for k, v in some[best].items()})
+        FS.append_results(spark.createDataFrame([row], SEARCH_RECORD), path)
+    stored = FS.load_results(spark, path, SEARCH_RECORD)
+    best = best_per_group(stored.withColumn("timestamp_utc", F.col("timestamp_utc").cast("int")), ["algo", "case_mode"],
+                          [-F.col("best_score_cv"), -F.col("timestamp_utc")]).first()
+    m = L.evaluate(L.fit_draw(train, best["algo"], parsed(best["best_params"]))(test))
+    return m.select(F.lit(best["algo"]).alias("algo"), F.lit(best["best_params"]["C"]).alias("C"),
+                    F.lit(best["best_params"]["ngram_range"]).alias("ngram_range"),
+                    F.lit(round(best["best_score_cv"], 6)).alias("best_score_cv"), "f1", "mcc", "auc")
 
 
 @query("sliding_window_eval")
 def sliding_window_eval(spark, sf):
-    """For every test year T, train on years <= T-1 (balanced), test on
-    T. Membership is one explode (J7); one distributed fit per window."""
-    m = S.window_membership(order_cases(spark, sf), "year", TEST_YEARS)
-    m = cut_lineage(S.balance_windows(S.windows_with_test(m), "label", "o_orderkey"))
-    out = None
-    for ty in TEST_YEARS:
-        w = m.filter(F.col("test_year") == ty)
-        train = order_features(w.filter(F.col("role") == "train"))
-        n = train.count()
-        train = L.right_size(train, n).persist()
-        test = order_features(w.filter(F.col("role") == "test"))
-        if n == 0:
-            continue
-        model = L.estimator("LogisticRegression", {"C": 1, "penalty": "l2", "max_iter": 100}, n).fit(train)
-        train.unpersist()
-        r = L.evaluate(model.transform(test)).select(F.lit(ty).alias("test_year"), F.lit(n).alias("train_size"),
-                                                     "f1", "mcc", "auc")
+    """For every test year, train on the text and the auxiliary columns
+    of all years before (balanced), test on the year; a full record for every
+    window that has both classes to train on. Membership is one explode (J7);
+    one distributed fit per window."""
+    c, extra = with_aux(dated_cases(spark, sf))
+    m = S.window_membership(c.withColumn("label", F.col("label").cast("int")), "year", TEST_YEARS)
+    m = cut_lineage(S.balance_windows(S.windows_with_test(m), "label", "doc_id"))
+    sizes = {r["test_year"]: r for r in m.groupBy("test_year").agg(  # one row for each window
+        F.count_if(F.col("role") == "train").alias("n"), F.count_if(F.col("role") == "test").alias("t"),
+        F.count_distinct(F.when(F.col("role") == "train", F.col("label"))).alias("k"), F.min("year").alias("y")).collect()}
+    out, draw = None, {"C": 1, "penalty": "l2", "max_iter": 100}
+    for year in [y for y in TEST_YEARS if y in sizes and sizes[y]["k"] == 2]:
+        w = m.filter(F.col("test_year") == year)
+        pred = L.fit_draw(w.filter(F.col("role") == "train"), "LogisticRegression", draw, aux=extra)(
+            w.filter(F.col("role") == "test"))
+        r = record(L.evaluate(pred), "sliding_window_ml", "LogisticRegression", draw, "2", "pf", "TF-IDF",
+                   f"{sizes[year]['y']}-{year - 1}", str(year), sizes[year]["n"], sizes[year]["t"])
         out = r if out is None else out.unionByName(r)
+    if out is None:  # the schema of a record, without a row
+        none = spark.createDataFrame([], ", ".join(f"{x} double" for x in L.SCORES))
+        out = record(none, "", "", draw, "", "", "", "", "", 0, 0)
     return out
-

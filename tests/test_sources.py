@@ -66,3 +66,32 @@ def test_results_store_json_documents(spark):
         spark.createDataFrame([(d,)], "value string").coalesce(1).write.text(f"{path}/part{i}")
     got = sorted((r.algo, r.f1) for r in FS.load_results(spark, f"{path}/*", schema, multi_line=True).collect())
     assert got == [("a", 0.5), ("b", 0.7), ("c", 0.1)]
+
+
+def test_markup_follows_the_dom(spark):
+    """Literal rows: the first element without the attribute, self-closing and
+    nested elements, quotes in attributes, entities."""
+    from lexframe.sources import markup as MK
+
+    rows = [
+        '<a x="1"/><a n="7">t</a>', '<p class="n"/>tail<p>one</p>', "<b><p>1</p><b><p>2</p></b><p>3</p></b><p>4</p>",
+        """<a n='x > y &amp;lt;'>&lt;é&gt; &quot;q&quot;<i>in</i> after</a>""", "<ab n='no'>x</ab><a>yes</a>", "",
+    ]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, x string")
+    got = [tuple(r)[1:] for r in d.select("i", MK.attribute("x", "a", "n"), MK.tag_texts("x", "p"), MK.tag_texts("x", "a"),
+                                          MK.nested_texts("x", "b", "p"), MK.outer_attributes("x", "a", "n")).orderBy("i").collect()]
+    assert got == [
+        ("", [], ["t"], [], ["", "7"]), ("", ["one"], [], [], []),
+        ("", ["1", "2", "3", "4"], [], ["1", "2", "3", "2"], []),
+        ("x > y &lt;", [], ['<é> "q"'], [], ["x > y &lt;"]), ("", [], ["yes"], [], [""]), ("", [], [], [], []),
+    ]
+
+
+def test_tsv_columns_are_counted_from_zero(spark):
+    from lexframe.session import scratch_path
+    from lexframe.sources import files as FS
+
+    path = scratch_path(spark, "tsv")
+    spark.createDataFrame([("EP1\tx\tx\tx\ten\tTXT\tx\tthe text",), ("EP2\tx\tx\tx\ten\tPDFEP\tx\tno",),
+                           ("EP3\tx\tx\ten\tde\tTXT\tx\tno",)], "v string").write.text(path)
+    assert [(r["c0"], r["c7"]) for r in FS.scan_corpus(spark, path).collect()] == [("EP1", "the text")]
