@@ -180,9 +180,10 @@ def cross_validate(parts: list[tuple[DataFrame, DataFrame]], algo: str, draws: S
     def one(job: tuple[int, int]) -> None:
         d, f = job
         pred = fit_draw(parts[f][0], algo, draws[d], text, aux, label)(parts[f][1])
-        (pred.select(F.lit(d).alias("draw"), F.lit(f).alias("fold"), F.col(key).cast("string").alias("key"),
-                     F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"),
-                     score_column(pred).alias("score")).write.mode("append").parquet(path))
+        # a folder for each job: concurrent jobs share no commit folder
+        pred.select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label"),
+                    F.col("prediction").cast("int").alias("pred"), score_column(pred).alias("score")).write.parquet(
+                        f"{path}/draw={d}/fold={f}")
 
     with ThreadPool(parallelism) as pool:
         pool.map(one, [(d, f) for d in range(len(draws)) for f in range(len(parts))], chunksize=1)
