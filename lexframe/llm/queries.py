@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.OP8_SQL}
+    return {"op7_secret_ownership": secrets.OP7_SQL, "op8_warc": warc.OP8_SQL}

@@ -136,3 +136,37 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repos
 
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(
+    f"SELECT doc_id, source, {i} AS ord, '{kind}' AS kind, string_split_regex(t, {_quoted(p)}) AS gaps, "
+    f"regexp_extract_all(t, {_quoted(p)}, 0) AS w, regexp_extract_all(t, {_quoted(p)}, {g}) AS v "
+    f"FROM d WHERE regexp_matches(t, {_quoted(p)})"
+    for i, (kind, p, g) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX, PROVIDER), (2, 0, 0, 0))))}),
+e AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m),
+s AS (SELECT doc_id, source, ord, kind, v[i] AS value, length(w[i]) AS size,
+             CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+f AS (SELECT *, kind || ':' || a || ':' || (a + size) AS told FROM s WHERE kind <> 'assign' OR length(value) >= 6),
+n AS (SELECT value, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-')) AS repositories,
+             count(DISTINCT coalesce(source, chr(0))) AS owners FROM f GROUP BY value),
+c AS (SELECT value, owners, CASE WHEN owners >= {SHARED_OWNERS} OR repositories >= {SHARED_REPOSITORIES} THEN 'example'
+             WHEN length(value) >= {LEAST_LENGTH} AND len(list_distinct(string_split(value, ''))) >= {LEAST_VARIETY}
+             THEN 'live' ELSE 'weak' END AS verdict FROM n),
+x AS (SELECT doc_id, verdict, owners FROM (SELECT DISTINCT doc_id, value FROM f) JOIN c USING (value)),
+y AS (SELECT doc_id, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example,
+             count(*) FILTER (WHERE verdict = 'weak') AS n_weak, max(owners) AS most_owners FROM x GROUP BY doc_id),
+z AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS)},
+             string_agg(told, ',' ORDER BY a, ord) AS spans,
+             string_agg(told, ',' ORDER BY a, ord) FILTER (WHERE kind <> 'provider') AS base FROM f GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(n_weak, 0) AS n_weak, coalesce(most_owners, 0) AS most_owners
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
