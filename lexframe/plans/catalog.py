@@ -44,7 +44,7 @@ def docs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import aggregates, ingest, joins, learning, scalars, text, windows  # noqa: F401
+    from . import aggregates, flows, ingest, joins, learning, scalars, text, windows  # noqa: F401
 
 
 def oracle_text(name: str) -> str:
