@@ -84,10 +84,6 @@ def lemma_map(extra: dict[str, str] | None = None) -> Column:
     return F.create_map(*[F.lit(x) for k in keys for x in (k, table[k])])
 
 
-def raw_words(c: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(WORD_RUN), 0)
-
-
 def kept_token_pattern(numbers: bool = False) -> str:
     """One regex that extracts exactly the kept tokens: maximal letter/digit
     runs that are all letters (2+ letters, or the single letters a / i), or,

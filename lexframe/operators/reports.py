@@ -74,7 +74,3 @@ def best_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column]) ->
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """K2: global top-k (TakeOrderedAndProject: k rows per task, merged)."""
     return df.orderBy(*order).limit(k)
-
-
-def rank_window(by: Sequence[str], order: Sequence[Column]) -> Window:
-    return Window.partitionBy(*by).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import clean as C
-from ..operators.features import one_hot
+from ..operators.features import binarise, one_hot
 from .catalog import query, t
 
 LI_ITEMS = r'<li><a href="[^"]*">([^<]*)</a></li>'
@@ -281,6 +281,15 @@ def one_hot_aligned(spark, sf):
     return o.select("o_orderkey", "split", *renamed)
 
 
+@query("binarise", """
+SELECT o_orderkey, CAST(o_totalprice > 150000 AS DOUBLE) AS expensive, CAST(o_custkey > 0 AS DOUBLE) AS known FROM orders
+""")
+def binarise_orders(spark, sf):
+    """Numbers to 0.0 / 1.0 by a threshold."""
+    return t(spark, sf, "orders").select("o_orderkey", binarise("o_totalprice", 150000).alias("expensive"),
+                                         binarise("o_custkey").alias("known"))
+
+
 # -- P24/P25 ------------------------------------------------------------------------
 @query("derive_category", """
 SELECT o_orderkey, category, matches,

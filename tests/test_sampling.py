@@ -93,8 +93,12 @@ def test_window_membership_and_balance(spark):
         assert tr.filter(F.col("year") > ty - 1).count() == 0
 
 
-def test_ceil_rule():
-    assert S.ceil_frac(3648 * 2, 0.2) == math.ceil(1459.2)
+def test_ceil_rule(spark):
+    """The test rows are a ceiling of the total, shared by largest remainder."""
+    for sizes, want in (((3648, 3648), (730, 730)), ((10366, 10366), (2074, 2073)), ((7, 2, 1), (2, 0, 0)), ((6, 3, 2), (2, 1, 0))):
+        c = spark.createDataFrame(list(enumerate(sizes)), "label int, n long")
+        got = tuple(r["t"] for r in S.test_quota(c, "label", "n", 0.2, "t").orderBy("label").collect())
+        assert got == want and sum(got) == math.ceil(sum(sizes) * 0.2)
 
 
 def test_best_per_group_matches_window(spark):
