@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_ownership": secrets.op7_secret_ownership,
         "op8_warc": warc.op8_warc,
         "op9_paragraph_bands": passages.op9_paragraph_bands,
+        "op9_paragraph_bands_within": passages.op9_paragraph_bands_within,
         "op10_bm25_decontamination": decontam.op10_bm25_decontamination,
     }
 
