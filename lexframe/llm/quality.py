@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks, bound_batches, frugal, read, stored, text_bytes, word_hashes, word_spans
 
 COMMON = 0.002          #: share of a language's words that makes a word common
-LEAST_LANGUAGE = 0.001  #: share of all words that gives a language a reference of its own
+LEAST_LANGUAGE = 5_000  #: words that give a language a reference of its own, whatever the others have
 BLOCK_WORDS = 1 << 20   #: words counted at a time
 MAX_CLASS_DISTANCE = 0.3    #: Jensen-Shannon distance of character classes
 MAX_WORD_DISTANCE = 0.3     #: Jensen-Shannon distance of common words in a long text ...
@@ -170,33 +170,25 @@ Reference = tuple[dict[str, int], np.ndarray, np.ndarray]
 
 
 def references(docs: DataFrame) -> dict[str | None, Reference]:
-    """A reference for every language with ``LEAST_LANGUAGE`` of all words, so
-    1 / LEAST_LANGUAGE references of 1 / COMMON words at most reach the driver.
-    The key '' is for documents of the other languages: all languages' classes
-    and no word reference."""
-    sizes = stored(docs.select("lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).groupBy("lang").agg(
-        F.sum("n").alias("n")), "quality-languages")
-    everything = sizes.agg(F.sum("n")).first()[0] or 0
-    large = [r["lang"] for r in sizes.filter(F.col("n") >= max(1, LEAST_LANGUAGE * everything)).collect()]
+    """A reference for every language of ``LEAST_LANGUAGE`` words, however many
+    the others have; 1 / COMMON words of each at most are kept."""
+    sizes = stored(docs.select("lang", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD.pattern)).alias(
+        "n")).groupBy("lang").agg(F.sum("n").alias("n")), "quality-languages")
+    large = [r["lang"] for r in sizes.filter(F.col("n") >= LEAST_LANGUAGE).collect()]
     wanted = F.coalesce(F.col("lang").isin([x for x in large if x is not None]), F.lit(None in large))
     reported: dict[str | None, list[str]] = {lang: [] for lang in large}
     for r in stored(common_words(docs.filter(wanted)), "quality-words").collect():
         reported[r["lang"]].append(r["word"])
-    counts = stored(language_counts(docs.withColumn("lang", F.when(wanted, F.col("lang")).otherwise(F.lit(" "))),
-                                    reported), "quality-counts")
+    counts = stored(language_counts(docs.filter(wanted), reported), "quality-counts")
     by: dict[str | None, dict] = {}
     for r in counts.collect():
         by.setdefault(r["lang"], {})[r["word"]] = r["n"]
     out: dict[str | None, Reference] = {}
-    classes = np.zeros(CLASSES)
     for lang, c in by.items():
         total, own = c.pop(None, 0), np.array([c.pop(f" {i}", 0) for i in range(CLASSES)], float)
-        classes = classes + own
         words = sorted(w for w, n in c.items() if n >= COMMON * total)
         seen = [c[w] for w in words]
         out[lang] = ({w: i for i, w in enumerate(words)}, np.array([*seen, total - sum(seen)], float), own)
-    out.pop(" ", None)
-    out[""] = ({}, np.zeros(1), classes)
     return out
 
 
@@ -208,6 +200,8 @@ def judge(docs: DataFrame, refs: dict[str | None, Reference]) -> DataFrame:
     """``RESULT`` for every row of ``docs`` (doc_id, lang, text). A distance is
     null where a guard or a missing reference leaves it unjudged."""
 
+    nothing: Reference = ({}, np.zeros(1), np.zeros(CLASSES))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = text_bytes(b.column("text"))
@@ -226,7 +220,7 @@ def judge(docs: DataFrame, refs: dict[str | None, Reference]) -> DataFrame:
                     repeated = repeated_words(mine)
                     n = int(hi - lo)
                     failed = n < LEAST_KEPT_WORDS or 100 * repeated > MOST_REPEATED * n
-                    words, word_ref, class_ref = refs.get(langs[k]) or refs[""]
+                    words, word_ref, class_ref = refs.get(langs[k]) or nothing
                     own = class_counts(part[at[k - i]: at[k - i + 1]])
                     by_class = by_word = None
                     if own.sum() >= LEAST_CHARS and class_ref.sum() > 0:
@@ -254,7 +248,7 @@ def quality(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str
 
     Three reads of the texts, none of them shuffled. Null or empty text: no
     words, so the base rule fails it. Null language: a language. A language
-    below ``LEAST_LANGUAGE``: judged by the character classes of all languages.
+    below ``LEAST_LANGUAGE``: judged by the base rule alone.
     Repeated rows: a result each. Empty table: no rows.
     """
     bound_batches(docs.sparkSession)

@@ -57,6 +57,25 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
 
 
+def test_small_language_among_large_ones(spark, monkeypatch):
+    """A small language is not judged by the characters of the others, and has
+    a reference from its own words on, whatever its share."""
+    import random
+
+    from lexframe.llm import quality as Q
+
+    rng = random.Random(1)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=6)) for _ in range(n))
+    greek, latin = "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "en", text(latin, 2000)) for i in range(300)] + [(400 + i, "el", text(greek, 90)) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    small = {r["doc_id"]: r for r in quality(d).filter("doc_id >= 400").collect()}
+    assert all(r["kept"] and r["class_distance"] is None and r["word_distance"] is None for r in small.values())
+    monkeypatch.setattr(Q, "LEAST_LANGUAGE", 270)
+    small = quality(d).filter("doc_id >= 400").collect()
+    assert len(small) == 3 and all(r["class_distance"] < 0.1 and r["word_distance"] is not None for r in small)
+
+
 def test_awkward_rows(spark, tmp_path):
     folder = awkward.table(spark, tmp_path)
     rows = op6_quality_divergence(spark, folder).collect()
