@@ -82,6 +82,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (names differ by
+    more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of ``keys`` in two frames."""
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
@@ -93,12 +102,12 @@ def join_checked(df: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     with adaptive skew splitting does it. ``small`` should be a stored table
     (it is counted first). Columns of ``small`` other than the keys follow
     those of ``df``."""
-    renamed = small.select(*[F.col(k).alias(f"_{k}_right") for k in keys],
-                           *[c for c in small.columns if c not in keys])
+    right = {k: fresh(df, f"_{k}_right") for k in keys}
+    renamed = small.select(*[F.col(k).alias(right[k]) for k in keys], *[c for c in small.columns if c not in keys])
     side = F.broadcast(renamed) if small.count() <= BROADCAST_ROWS else renamed
-    on = reduce(lambda a, b: a & b, (df[k].eqNullSafe(renamed[f"_{k}_right"]) for k in keys))
+    on = reduce(lambda a, b: a & b, (df[k].eqNullSafe(renamed[right[k]]) for k in keys))
     out = df.join(side, on, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_{k}_right" for k in keys])
+    return out if how in ("left_semi", "left_anti") else out.drop(*right.values())
 
 
 def number_repeats(df: DataFrame, keys: list[str], out: str = "_rep") -> DataFrame:
@@ -107,7 +116,8 @@ def number_repeats(df: DataFrame, keys: list[str], out: str = "_rep") -> DataFra
     keys are counted, and only rows of repeated keys go through a window."""
     from pyspark.sql import Window
 
-    many = stored(df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys),
+    n = fresh(df, "_n")
+    many = stored(df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).select(*keys),
                   "repeats")
     if many.isEmpty():
         return df.withColumn(out, F.lit(0))

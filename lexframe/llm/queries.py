@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, packing, passages, quality, secrets, tokens, warc
+from . import (alignment, decontam, importance, langid, mixing, neardup, packing, passages, quality, secrets, squares,
+               tokens, warc)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_paragraph_bands": passages.op9_paragraph_bands,
         "op9_paragraph_bands_within": passages.op9_paragraph_bands_within,
         "op10_bm25_decontamination": decontam.op10_bm25_decontamination,
+        "op11_sum_of_squares": squares.op11_sum_of_squares,
+        "op12_importance_resampling": importance.op12_importance_resampling,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
