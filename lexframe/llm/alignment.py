@@ -26,22 +26,13 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import bound_batches, frugal, read, stored
-from .parts import Ids, byte_bpe, cut, some_rows, type_of
+from .parts import Ids, byte_bpe, byte_letters, cut, some_rows, type_of
 
 A_MODEL = "byte_bpe_50k.json"
 B_MODEL = "piece_bpe_32k.model"
 LANE = 256      #: A tokens of a lane
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for:
-    printable Latin-1 characters for themselves, the other bytes in order from
-    U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = sorted(set(range(256)) - set(own))
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def byte_level_bytes(tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level tokenizer."""
     letters = byte_letters()

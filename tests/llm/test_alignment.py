@@ -11,11 +11,12 @@ import sentencepiece
 from conftest import SMALL
 from lexframe.llm import alignment as A
 from lexframe.llm import common
+from lexframe.llm.parts import byte_letters
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders
 
 
-LETTERS = A.byte_letters()
+LETTERS = byte_letters()
 
 
 def tokens(text, a, b):
@@ -71,7 +72,7 @@ def order(rows):
 
 
 def test_byte_letters_are_the_library_s():
-    letters = A.byte_letters()
+    letters = byte_letters()
     assert sorted(letters.values()) == list(range(256))
     assert decoders.ByteLevel().decode([c for c, b in letters.items() if 32 <= b < 127]) == "".join(
         chr(b) for b in letters.values() if 32 <= b < 127)
