@@ -141,26 +141,45 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
         yield i, j, [buf[off[k]: off[k + 1]].tobytes() for k in range(i, j)]
 
 
-def histogram(texts: DataFrame) -> dict[int, int]:
-    """``text`` -> the features of each bucket. A task reports its own sums, a
-    row a bucket; at most ``BUCKETS`` rows reach the driver."""
+def feature_table(texts: DataFrame) -> DataFrame:
+    """``_id, text`` -> ``_id, n_words, buckets``: the bucket of every feature
+    of a text, as little-endian 16-bit numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, total = splitter(), np.zeros(BUCKETS, np.int64)
+        split = splitter()
         for batch in batches:
-            for _, _, own in _slices(batch):
+            for i, j, own in _slices(batch):
                 first, buckets = features(split, own)
-                for k, b in enumerate(buckets):
-                    # runs that cross into another text start at its last k words
-                    ends = np.maximum(first[1:] - k, first[:-1])
-                    edge = np.zeros(len(b) + 1, np.int64)
-                    np.add.at(edge, np.minimum(first[:-1], len(b)), 1)
-                    np.add.at(edge, np.minimum(ends, len(b)), -1)
-                    total += np.bincount(b[np.cumsum(edge[:-1]) > 0], minlength=BUCKETS)
+                some = [b.astype("<u2") for b in buckets]
+                # a run of k more words does not start at a text's last k words
+                out = [b"".join(b[lo: max(hi - k, lo)].tobytes() for k, b in enumerate(some))
+                       for lo, hi in zip(first.tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(np.diff(first)),
+                                                  pa.array(out, pa.binary())], ["_id", "n_words", "buckets"])
+
+    return texts.select("_id", "text").mapInArrow(
+        frugal(work), f"_id {type_of(texts, '_id')}, n_words bigint, buckets binary")
+
+
+def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all rows and the offsets of each row's."""
+    buf, off = text_bytes(batch.column("buckets"))
+    return buf.view("<u2"), off // 2
+
+
+def histogram(table: DataFrame) -> dict[int, int]:
+    """:func:`feature_table` rows -> the features of each bucket. A task
+    reports its own sums, a row a bucket; ``BUCKETS`` rows at most reach the
+    driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_joined(batch)[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
 
-    rows = texts.select("text").mapInArrow(frugal(work), "bucket int, n bigint")
+    rows = table.select("buckets").mapInArrow(frugal(work), "bucket int, n bigint")
     return {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -172,27 +191,19 @@ def gains(source: dict[int, int], target: dict[int, int]) -> np.ndarray:
         for b in range(BUCKETS)], np.int64)
 
 
-def weigh(docs: DataFrame, gain: np.ndarray) -> DataFrame:
-    """``_id, text`` -> ``_id, n_words, n_features, weight``; ``gain`` has
-    ``BUCKETS`` numbers and goes with the tasks."""
+def weigh(table: DataFrame, gain: np.ndarray) -> DataFrame:
+    """:func:`feature_table` rows -> ``_id, n_words, n_features, weight``;
+    ``gain`` has ``BUCKETS`` numbers and goes with the tasks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
         for batch in batches:
-            for i, j, own in _slices(batch):
-                first, buckets = features(split, own)
-                a, z = first[:-1], first[1:]
-                weight = n = 0
-                for k, b in enumerate(buckets):
-                    run = np.concatenate([[0], np.cumsum(gain[b])])
-                    lo = np.minimum(a, len(b))
-                    hi = np.maximum(np.minimum(z - k, len(b)), lo)
-                    weight, n = weight + run[hi] - run[lo], n + hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(z - a), pa.array(n),
-                                                  pa.array(weight)], ["_id", "n_words", "n_features", "weight"])
+            buckets, off = _joined(batch)
+            run = np.concatenate([[0], np.cumsum(gain[buckets])])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_words"), pa.array(np.diff(off)),
+                                              pa.array(np.diff(run[off]))], ["_id", "n_words", "n_features", "weight"])
 
-    return docs.select("_id", "text").mapInArrow(
-        frugal(work), f"_id {type_of(docs, '_id')}, n_words bigint, n_features bigint, weight bigint")
+    return table.mapInArrow(
+        frugal(work), f"_id {type_of(table, '_id')}, n_words bigint, n_features bigint, weight bigint")
 
 
 def gumbel(key, seed: int = SEED):
@@ -217,8 +228,10 @@ def importance(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
     """
     bound_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text"))
-    gain = gains(histogram(d), histogram(target.select(F.col(target_text).cast("string").alias("text"))))
-    rows = stored(weigh(d, gain).withColumn("score", F.col("weight") + gumbel(F.col("_id"), seed)), "importance-scores")
+    aim = target.select(F.lit(0).alias("_id"), F.col(target_text).cast("string").alias("text"))
+    table = stored(feature_table(d), "importance-features")  # the texts are split once
+    gain = gains(histogram(table), histogram(feature_table(aim)))
+    rows = stored(weigh(table, gain).withColumn("score", F.col("weight") + gumbel(F.col("_id"), seed)), "importance-scores")
     able = rows.filter(F.col("n_words") >= least)
     draw = able.count() * percent // 100
     # all that can be drawn are sorted by score over range partitions: five numbers a row
