@@ -60,26 +60,38 @@ def frugal(work):
     return run
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let jobs of this session hand Python at most ``rows`` rows at a time:
-    for whole texts, where the default of 10,000 is much memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(name))
+ROWS_CONF, BYTES_CONF = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Let jobs of this session hand Python at most ``rows`` rows and about
+    ``size`` bytes at a time: for whole texts, where the default of 10,000 rows
+    is much memory."""
+    before = int(spark.conf.get(ROWS_CONF))
     if before <= 0 or before > rows:
-        spark.conf.set(name, str(rows))
+        spark.conf.set(ROWS_CONF, str(rows))
+    if not 0 < in_bytes(spark.conf.get(BYTES_CONF)) <= size:
+        spark.conf.set(BYTES_CONF, f"{size}b")
+
+
+def in_bytes(size: str) -> int:
+    """A byte size of the session's settings as a number."""
+    digits = size.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(digits[-1:], 0)
+    return int(digits[:-1] if unit else digits) << unit
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within the block, jobs hand Python at most ``rows`` rows at a time: for
-    rows that carry two texts, where the default of 10,000 is much memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_rows(spark: SparkSession, rows: int, size: int = 8 << 20) -> Iterator[None]:
+    """Within the block, jobs hand Python at most ``rows`` rows and about
+    ``size`` bytes at a time: for rows that carry two texts."""
+    before = {c: spark.conf.get(c) for c in (ROWS_CONF, BYTES_CONF)}
+    bound_batches(spark, rows, size)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for c, value in before.items():
+            spark.conf.set(c, value)
 
 
 def fresh(df: DataFrame, name: str) -> str:
