@@ -81,6 +81,17 @@ def in_bytes(size: str) -> int:
     return int(digits[:-1] if unit else digits) << unit
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within the block, a setting of the session has another value."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int, size: int = 8 << 20) -> Iterator[None]:
     """Within the block, jobs hand Python at most ``rows`` rows and about
