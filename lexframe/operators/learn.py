@@ -1,10 +1,9 @@
 """Classifiers, search and evaluation on Spark ML.
 
-Features: tokens (or n-grams) -> hashed counts -> tf * (idf + 1) -> l2
-(scikit-style smooth idf with the +1), or the counts alone. Terms are hashed
-into a fixed number of features, so no vocabulary reaches the driver: it holds
-one document frequency for each feature. Every fit/transform is a distributed
-Spark job; the driver only holds models and small parameter maps.
+Features: tokens (or n-grams) -> counts of the terms in min_df documents ->
+tf * (idf + 1) -> l2 (scikit-style smooth idf with the +1), or the counts alone.
+The driver holds models, a vocabulary of a bounded number of terms and small
+parameter maps; every fit/transform is a distributed Spark job.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -34,25 +33,29 @@ from . import metrics as M
 
 # ---------------------------------------------------------------------------
 # Search grids per classifier (scikit-learn names -> values).
-# Spark's trees go to depth 30, so the forest's depths are the supported ones.
+# Spark's trees go to depth 30: deeper ones and "no limit" are grown to 30.
 # ---------------------------------------------------------------------------
 GRIDS = {
     "LinearSVC": {"C": [0.1, 1, 10, 100]},
     "LogisticRegression": {"C": [0.1, 1, 10, 100], "penalty": ["none", "l2"], "max_iter": [100, 250, 500]},
-    "RandomForest": {"n_estimators": [100, 200, 300], "max_features": ["sqrt", "log2"], "max_depth": [10, 20, 30]},
+    "RandomForest": {"n_estimators": [100, 200, 300], "max_features": ["sqrt", "log2"], "max_depth": [10, 50, 100, None]},
     "GradientBoosting": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.02, 0.05, 0.1, 0.2],
                          "gamma": [0, 0.1, 0.2], "max_depth": [3, 6, 9]},
 }
 # The text side of the same search: every draw takes one value of each.
 TEXT_GRID = {
-    "stopwords": [False, True], "numbers": [False, True], "lemmatise": [False, True],
-    "ngram_range": [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 3), (2, 4), (3, 3), (3, 4), (4, 4)],
-    "min_df": [2, 5, 10], "norm": [None, "l2"],
+    "stopwords": [True, False], "numbers": [True, False], "lemmatise": [True, False],
+    "ngram_range": [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (1, 4), (2, 4), (3, 4), (4, 4)],
+    "min_df": [2, 5, 10],
 }
+# What each representation adds: TF-IDF has both fixed, n-grams draw the norm.
+REPRESENTATIONS = {"TF-IDF": {"norm": ["l2"], "use_idf": [True]}, "N-Grams": {"norm": [None, "l2"], "use_idf": [False]}}
+SHAPE = ("stopwords", "numbers", "lemmatise")  # what a text's tokens depend on
 MAX_TREE_DEPTH = 30     # Spark's limit
 TOL = 1e-4              # scikit-learn's default stopping tolerance for both linear models
-FEATURES = 1 << 14      # hashed features of the linear models: every iteration sends a gradient of that size a partition
-TREE_FEATURES = 1 << 12     # of the tree ensembles, whose split statistics are kept for every feature
+FEATURES = 1 << 18      # terms of the linear models: every iteration sends a gradient of that size a partition
+TREE_FEATURES = 1 << 14     # of the tree ensembles, which keep a bin of every feature for every row
+TRAIN_ROWS = 500        # rows that a partition of training rows should have
 TRAIN_PARTITIONS = 512  # at most so many partitions of training rows, as every iteration is a job over all of them
 
 
@@ -65,9 +68,17 @@ def search_tokens(text: Column, stopwords: bool = False, numbers: bool = False,
 
 def text_features(train: DataFrame, tokens: str, out: str = "text_vec", min_df: int = 2, use_idf: bool = True,
                   norm: str | None = "l2", features: int = FEATURES) -> PipelineModel:
-    """Fit the sparse text featuriser on ``train`` only (no test leakage):
-    features in fewer than ``min_df`` training documents weigh nothing."""
-    tf = HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features)
+    """Fit the sparse text featuriser on ``train`` only (no test leakage).
+
+    The vocabulary is exact: every term in at least ``min_df`` training
+    documents (a grouped count) has a feature of its own. A model of more than
+    ``features`` terms would not fit the driver; their counts are hashed into
+    ``features`` then, and ``min_df`` holds for a feature."""
+    known = vocabulary(train, tokens, min_df, features)
+    if known is not None:
+        tf = CountVectorizerModel.from_vocabulary(known, inputCol=tokens, outputCol="__tf")
+    else:
+        tf = HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=features)
     idf = IDF(inputCol="__tf", outputCol="__idf", minDocFreq=min_df).fit(tf.transform(train))
     weight = [(v + 1.0 if use_idf else 1.0) if n >= min_df else 0.0 for v, n in zip(idf.idf.toArray(), idf.docFreq)]
     stages = [tf, ElementwiseProduct(scalingVec=Vectors.dense(weight), inputCol="__tf",
@@ -77,6 +88,19 @@ def text_features(train: DataFrame, tokens: str, out: str = "text_vec", min_df:
     return PipelineModel(stages=stages)
 
 
+def vocabulary(train: DataFrame, tokens: str, min_df: int, most: int) -> list[str] | None:
+    """The terms in at least ``min_df`` rows of ``train``, the commonest first
+    (ties by term); null if they are more than ``most``, which bounds what the
+    driver takes. Without any term: one that no text has, as a vocabulary is
+    never empty."""
+    terms = train.select(F.explode(F.array_distinct(tokens)).alias("term")).filter(F.col("term").isNotNull())
+    held = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_df)
+    rows = held.limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    return [r["term"] for r in sorted(rows, key=lambda r: (-r["n"], r["term"]))] or [""]
+
+
 def estimator(algo: str, params: dict, n_train: int, features: str = "features", label: str = "label"):
     """Spark estimator for a scikit-style parameter set (M1-M4)."""
     p = dict(params)
@@ -104,9 +128,7 @@ def estimator(algo: str, params: dict, n_train: int, features: str = "features",
 
 
 def tree_depth(depth: int | None) -> int:
-    if depth is None or int(depth) > MAX_TREE_DEPTH:
-        raise ValueError(f"tree depth {depth}: at most {MAX_TREE_DEPTH} is supported")
-    return int(depth)
+    return MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH)
 
 
 def score_column(pred: DataFrame) -> Column:
@@ -148,6 +170,7 @@ def expanding_parts(folds: DataFrame, k: int) -> list[tuple[DataFrame, DataFrame
     return [(of(i, "train"), of(i, "test")) for i in range(k)]
 
 
+TOKENS = "__tokens"     # of a frame whose texts are cut already, for one SHAPE
 SCORES = ["accuracy", "precision", "recall", "f1", "mcc", "auc"]
 
 
@@ -155,38 +178,62 @@ def fit_draw(train: DataFrame, algo: str, draw: dict, text: str = "text", aux: S
              label: str = "label"):
     """Fit one draw (text and classifier parameters) on ``train``; returns a
     function that predicts another frame. Features come from ``train`` only."""
-    shape = {k: draw[k] for k in ("stopwords", "numbers", "lemmatise", "ngram_range") if k in draw}
-    terms = lambda df: df.withColumn("__terms", search_tokens(F.col(text), **shape))
+    shape = {k: draw.get(k, False) for k in SHAPE}
+    span = tuple(draw.get("ngram_range", (1, 1)))
+
+    def terms(df: DataFrame) -> DataFrame:
+        if TOKENS not in df.columns:
+            return df.withColumn("__terms", search_tokens(F.col(text), **shape, ngram_range=span))
+        return df.withColumn("__terms", F.col(TOKENS) if span == (1, 1) else TX.ngrams(F.col(TOKENS), *span))
+
     width = TREE_FEATURES if algo in ("RandomForest", "GradientBoosting") else FEATURES
     feats = text_features(terms(train), "__terms", "__text", int(draw.get("min_df", 2)), draw.get("use_idf", True),
                           draw.get("norm", "l2"), width)
     prep = lambda df: assemble(feats.transform(terms(df)), ["__text", *aux])
-    rows = prep(train).select("features", label).coalesce(TRAIN_PARTITIONS).persist()
+    n = train.count()
+    rows = prep(train).select("features", label).coalesce(min(TRAIN_PARTITIONS, n // TRAIN_ROWS + 1)).persist()
     try:
-        model = estimator(algo, draw, rows.count(), "features", label).fit(rows)
+        model = estimator(algo, draw, n, "features", label).fit(rows)
     finally:
         rows.unpersist()
     return lambda df: model.transform(prep(df))
 
 
-def cross_validate(parts: list[tuple[DataFrame, DataFrame]], algo: str, draws: Sequence[dict], key: str,
-                   text: str = "text", aux: Sequence[str] = (), label: str = "label", parallelism: int = 4) -> DataFrame:
+def token_store(rows: DataFrame, draws: Sequence[dict], text: str = "text") -> dict[tuple, DataFrame]:
+    """``rows`` with ``TOKENS`` in place of the text, written once for every
+    SHAPE that the draws have (eight at most): all draws of a shape, all folds
+    and all n-gram orders read the same tokens."""
+    out = {}
+    for shape in sorted({tuple(d.get(k, False) for k in SHAPE) for d in draws}):
+        path = scratch_path(rows.sparkSession, "tokens")
+        cut = rows.withColumn(TOKENS, search_tokens(F.col(text), **dict(zip(SHAPE, shape)))).drop(text)
+        cut.write.parquet(path)
+        out[shape] = rows.sparkSession.read.schema(cut.schema).parquet(path)
+    return out
+
+
+def cross_validate(rows: DataFrame, split, algo: str, draws: Sequence[dict], key: str, text: str = "text",
+                   aux: Sequence[str] = (), label: str = "label", parallelism: int = 8) -> DataFrame:
     """Random search (M6): every draw on every fold, the features fitted anew
-    in each. Validation predictions are written once, and one grouped job
-    scores all of them: ``draw`` and the mean over the folds of ``SCORES``."""
-    spark = parts[0][0].sparkSession
+    in each. ``split`` gives the (train, validation) frames of ``rows``.
+    Validation predictions are written, and one grouped job scores all of them:
+    ``draw`` and the mean over the folds of ``SCORES``."""
+    spark = rows.sparkSession
     path = scratch_path(spark, "search")
+    parts = {shape: split(cut) for shape, cut in token_store(rows, draws, text).items()}
+    folds = len(next(iter(parts.values())))
 
     def one(job: tuple[int, int]) -> None:
         d, f = job
-        pred = fit_draw(parts[f][0], algo, draws[d], text, aux, label)(parts[f][1])
+        train, val = parts[tuple(draws[d].get(k, False) for k in SHAPE)][f]
+        pred = fit_draw(train, algo, draws[d], text, aux, label)(val)
         # a folder for each job: concurrent jobs share no commit folder
         pred.select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label"),
                     F.col("prediction").cast("int").alias("pred"), score_column(pred).alias("score")).write.parquet(
                         f"{path}/draw={d}/fold={f}")
 
     with ThreadPool(parallelism) as pool:
-        pool.map(one, [(d, f) for d in range(len(draws)) for f in range(len(parts))], chunksize=1)
+        pool.map(one, [(d, f) for d in range(len(draws)) for f in range(folds)], chunksize=1)
     p = spark.read.parquet(path)
     m = M.binary_metrics(p, "label", "pred", ["draw", "fold"]).join(M.roc_auc(p, "label", "score", ["draw", "fold"]),
                                                                    ["draw", "fold"])
