@@ -26,10 +26,10 @@ def test_vocabulary_is_exact(spark):
 
 def test_grids_and_draws():
     for algo in L.GRIDS:
-        some = L.sample_grid(P.search_grid(algo, "N-Grams"), P.DRAWS)
+        some = L.sample_grid(P.search_grid(algo, "N-Grams"), P.PUBLISHED_DRAWS)
         assert len({repr(sorted(d.items(), key=repr)) for d in some}) == 50
         assert {d["norm"] for d in some} == {None, "l2"} and not any(d["use_idf"] for d in some)
-    assert all(d["norm"] == "l2" and d["use_idf"] for d in L.sample_grid(P.search_grid("LinearSVC"), P.DRAWS))
+    assert all(d["norm"] == "l2" and d["use_idf"] for d in L.sample_grid(P.search_grid("LinearSVC"), P.PUBLISHED_DRAWS))
     assert [L.tree_depth(x) for x in (10, 50, 100, None)] == [10, 30, 30, 30]
 
 
