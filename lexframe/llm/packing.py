@@ -16,7 +16,8 @@ is packed in the same way whenever it is recomputed.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,43 @@ LENGTH = 2048               #: ids of a row
 WINDOW_TOKENS = 1 << 20     #: ids packed together
 RANKS = "byte_bpe_50k.tiktoken"
 END = 50256                 #: the vocabulary's free id, set after every document
+LONG_RUN = 100_000          #: characters of a run of white space that is cut out before the library's pattern
+#: What the library's pattern takes as white space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RESULT = ("n_tokens int, n_segments int, input_ids binary, position_ids binary, cu_seqlens array<int>, "
           "doc_ids array<bigint>, pieces array<int>, starts array<bigint>")
 
 
-def encoder(ranks: str = RANKS):
-    """The library's encoder of a vocabulary: text -> ids."""
+def encoder(ranks: str = RANKS, longest: int = LONG_RUN) -> Callable[[str], list[int]]:
+    """The library's encoder of a vocabulary: text -> ids.
+
+    Its pattern fails on a run of a million white-space characters. The pattern
+    takes such a run but for its last character as one piece before something
+    else, and the whole run at the end of a text, so runs of ``longest`` or
+    more go to the library's merges as that piece, and what lies between them
+    goes through the pattern.
+    """
     import public_tokenizers as p
     import tiktoken
 
     with open(p.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    library = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=table, special_tokens={})
+    # the look-behind lets a run be tried from its start alone: one pass over the text
+    runs = re.compile(f"(?<![{SPACE}])[{SPACE}]{{{longest},}}").finditer
+
+    def encode(text: str) -> list[int]:
+        if len(text) < longest:
+            return library.encode_ordinary(text)
+        ids, at = [], 0
+        for m in runs(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            ids += library.encode_ordinary(text[at: m.start()])
+            ids += library._encode_single_piece(text[m.start(): stop])
+            at = stop
+        return ids + library.encode_ordinary(text[at:])
+
+    return encode
 
 
 class Capacities:

@@ -44,6 +44,30 @@ def whole(rows, length=P.LENGTH):
     return {d: sorted(p) for d, p in parts.items()}
 
 
+def test_long_runs_of_white_space():
+    whole, parts = P.encoder(longest=1 << 30), P.encoder()
+    for run in (" ", "\n", " \n\t", "\u3000 "):
+        for n in (P.LONG_RUN - 1, P.LONG_RUN, P.LONG_RUN + 1, 400_000):
+            w = (run * n)[:n]
+            for text in (w, w + "end", "it's" + w, "a." + w + "b 1" + w + "\x1c" + w + "!", w + "\u200b" + w):
+                assert parts(text) == whole(text)
+    small = P.encoder(longest=3)
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(" \n\t\xa0\x1fa1.'s") for _ in range(rng.randint(0, 30)))
+        assert small(text) == whole(text)
+    for run in (" ", "\n", " \t"):
+        w = run * (2_000_000 // len(run))
+        for text in (w + "x", "x" + w + "x", "x" + w):
+            assert len(parts(text)) > 1000
+
+
+def test_long_run_is_packed(spark):
+    d = spark.createDataFrame([(1, "a" + " " * 1_200_000 + "b")], "doc_id bigint, text string")
+    got = whole(P.pack(d).collect())
+    assert [x for p in got[1] for x in p[2]] == [*P.encoder()("a" + " " * 1_200_000 + "b"), P.END]
+
+
 def test_round_trip(spark):
     encode = P.encoder()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
