@@ -12,6 +12,8 @@ give every start and end in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ KINDS = ["assign", "access", "hex", "provider"]
 
 SHARED_OWNERS = 3       #: owners from which a value counts as a copied example
 SHARED_REPOSITORIES = 10    #: repositories from which a value counts as a copied example
+BLOCK = 512             #: matches of a text that are laid end to end at a time
 LEAST_LENGTH = 12       #: characters of a value that can be live
 LEAST_VARIETY = 8       #: distinct characters of a value that can be live
 
@@ -50,10 +53,28 @@ def spans(text: Column, kind: str, pattern: str, group: int) -> Column:
                        stop.alias("stop"), x["value"].alias("value"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    laid = F.aggregate(step, start, lay)["out"]
+    def shifted(x: Column, by: Column) -> Column:
+        return F.struct((x["start"] + by).alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"),
+                        (x["stop"] + by).alias("stop"), x["value"].alias("value"))
+
+    def joined(parts: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(parts, first, lambda acc, x: F.struct(
+            (acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(parts, begins, lambda x, by: F.transform(x["out"], lambda s: shifted(s, by))))
+
+    # a list grows by copying, so BLOCK matches are laid at a time, from 0, and the blocks then set end to end
+    laid = bound(step, lambda all_: bound(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK)),
+                    lambda k: F.aggregate(F.slice(all_, k + 1, F.lit(BLOCK)), start, lay)), joined))
     return F.when(text.rlike(pattern), laid).otherwise(F.array().cast(f"array<{shape}>"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once a row however often lambdas use it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def candidates(text: Column) -> Column:
     """All spans of a text, by start and then kind."""
     text = F.coalesce(text, F.lit(""))
