@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The shared folder of each application whose session names none.
+_OWN_DIRS: dict[str, str] = {}
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -49,11 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            d = tempfile.mkdtemp(prefix="lexframe-shared-")
-        else:
-            d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexframe_scratch"
-        spark.conf.set("spark.checkpoint.dir", d)
+        context = spark.sparkContext
+        d = _OWN_DIRS.get(context.applicationId)
+        if not d:
+            if context.master.startswith("local[") or context.master == "local":
+                d = tempfile.mkdtemp(prefix="lexframe-shared-")
+            else:
+                d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexframe_scratch"
+            _OWN_DIRS[context.applicationId] = d
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")

@@ -95,3 +95,11 @@ def test_tsv_columns_are_counted_from_zero(spark):
     spark.createDataFrame([("EP1\tx\tx\tx\ten\tTXT\tx\tthe text",), ("EP2\tx\tx\tx\ten\tPDFEP\tx\tno",),
                            ("EP3\tx\tx\ten\tde\tTXT\tx\tno",)], "v string").write.text(path)
     assert [(r["c0"], r["c7"]) for r in FS.scan_corpus(spark, path).collect()] == [("EP1", "the text")]
+
+
+def test_shared_folder_is_one(spark):
+    """Where the session names no folder, it gets one, the same at each call."""
+    from lexframe.session import scratch_path, shared_dir
+
+    assert shared_dir(spark) == shared_dir(spark)
+    assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
