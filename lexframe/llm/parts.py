@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 
 from .common import blocks, text_bytes
+from .packing import encoder
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 cut = re.compile(f"(?<=[^ ]) (?=[!-~{LETTERS}])").split
-#: parts that are one word, or a word and a mark, of the byte-level vocabulary's pattern
-_plain = re.compile(f"( ?[{LETTERS}]+)([.,;:!?]?)").fullmatch
+#: Strings on whose characters the pattern's classes are beyond doubt; special strings begin with "<|".
+_plain = re.compile(f"[ -~\\t\\n{LETTERS[6:]}]{{0,64}}").fullmatch
+#: Vocabularies that are there as ranks too.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 HELD = 1 << 18  #: distinct parts of a task's younger memory; the older one has as many at most
 
@@ -65,17 +68,17 @@ def byte_letters() -> dict[str, int]:
 def byte_bpe(name: str, special: bool):
     """The library's tokenizer of a byte-level vocabulary file and a function
     that gives the ids of many strings, without begin or end. The strings of
-    special tokens are those tokens if ``special``, else plain text. A string
-    that is one word goes straight to the library's merges."""
+    special tokens are those tokens if ``special``, else plain text.
+
+    Where the vocabulary is also there as ranks, short strings of plain Latin
+    characters get their ids from the ranks, which costs a third: pattern and
+    merges are the same, and so are the ids. All others go to the library."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = not special
-    merge = t.model.tokenize
-    letter = {b: c for c, b in byte_letters().items()}
-    marks = {m: [x.id for x in merge(m)] for m in ".,;:!?"} | {"": []}
 
     def whole(texts: list[str]) -> Iterator[list[int]]:
         for i in range(0, len(texts), 64):  # many strings as the parts of one input: a result costs more than a string
@@ -84,16 +87,13 @@ def byte_bpe(name: str, special: bool):
             ids, at = e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
             yield from (ids[a:b] for a, b in zip(at, at[1:]))
 
+    if name not in RANKS:
+        return t, lambda texts: list(whole(texts))
+    by_ranks = encoder(RANKS[name])
+
     def encode(texts: list[str]) -> list[list[int]]:
-        out, rest = [], []
-        for n, text in enumerate(texts):
-            m = _plain(text)
-            if m:
-                word = m[1] if m[1].isascii() else m[1].encode().decode("latin-1")
-                out.append([x.id for x in merge(word.translate(letter))] + marks[m[2]])
-            else:
-                out.append([])
-                rest.append(n)
+        out = [by_ranks(x) if _plain(x) and "<|" not in x else None for x in texts]
+        rest = [n for n, ids in enumerate(out) if ids is None]
         for n, ids in zip(rest, whole([texts[n] for n in rest])):
             out[n] = ids
         return out

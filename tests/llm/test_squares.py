@@ -9,6 +9,7 @@ import pytest
 import public_tokenizers
 from conftest import MEDIUM
 from lexframe.llm import squares as S
+from lexframe.llm.parts import byte_bpe
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -18,6 +19,18 @@ def library():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_ids_of_parts_are_the_library_s(special):
+    t, encode = byte_bpe(S.VOCABULARY, special)
+    t.encode_special_tokens = not special
+    rng = random.Random(9)
+    letters = [*" \t\n\x0b\x1c\x85\xa0'’.,;!?%<|>09azAZßéçÀ×÷漢\u0301\U0001f600", "'s", "'LL", "<|endoftext|>", "  ", "\r\n", "the"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    texts += ["a" * 64, "é" * 65, " " * 64, " " * 70, "<|endoftext|>", "x<|endoftext|> y", "", "x" * 500]
+    texts += [t.decode([i]) for i in range(0, t.get_vocab_size(), 3)]
+    assert encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_level_minimises_the_squares():
     rng = random.Random(4)
     for length in (8, 20):
