@@ -164,6 +164,37 @@ def test_a_large_group_and_strangers_in_its_buckets(spark):
     assert sum(v[2] for v in got.values()) == 33
 
 
+def test_partners_that_are_no_representatives(spark):
+    """Two components are linked by one pair of texts, neither the smallest key
+    of its component, whose rare words stand in many texts."""
+    base = [f"w{i}" for i in range(200)]
+
+    x, y = ([f"{c}{i}" if at <= i < at + 20 else w for i, w in enumerate(base)] for c, at in (("x", 0), ("y", 20)))  # 40 apart
+    texts = {100: x, 101: y} | {k: w[:at] + w[at + 1:] for k, w, at in ((1, y, 180), (2, y, 190), (3, x, 180), (4, x, 190))}
+    texts |= {10 + i: base[: 2 * i] + base[2 * i + 45:] for i in range(60)}  # too short for the others
+    links = [(1, 101), (2, 101), (3, 100), (4, 100)]
+    d = neardup.stored(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "_key long, text string"), "texts")
+    crowd = neardup.stored(neardup.sketch_table(d).select("_key", "n_words", "sketches"), "crowd")
+    sketches = {r["_key"]: set(r["sketches"]) for r in crowd.collect()}
+    assert sketches[100] & sketches[101]
+    known = spark.createDataFrame(links, "a long, b long")
+    got = {(r["a"], r["b"]) for r in neardup.across(crowd, d, known, known, 0.8).collect()}
+    assert (100, 101) in got and got >= set(links)
+    number = {w: i for i, w in enumerate({w for t in texts.values() for w in t})}
+    numbers = {k: np.array([number[w] for w in t], np.uint64) for k, t in texts.items()}
+    assert all(neardup.alike(numbers[a], numbers[b], int(0.2 * max(len(texts[a]), len(texts[b])))) for a, b in got)
+
+
+def test_parity_bounds_the_common_words():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n - n // 2).astype(np.uint64)])
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(neardup.word_parity(a).view(np.uint64).tolist(),
+                                                           neardup.word_parity(b).view(np.uint64).tolist()))
+        assert 0 < apart <= 2 * (n - n // 2) and len(neardup.word_parity(a)) == 4
+
+
 def test_awkward_rows(spark, tmp_path):
     folder = awkward.table(spark, tmp_path)
     rows = neardup.op5_order_minhash(spark, folder).collect()
