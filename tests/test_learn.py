@@ -55,3 +55,42 @@ def test_latest_record_then_score(spark):
             (at(1), "B", "pf", 0.1, {"C": "4"})]
     got = P.chosen_record(spark.createDataFrame(rows, P.SEARCH_RECORD)).collect()
     assert {(r["algo"], r["best_params"]) for r in got} == {("A", '{"C":"3"}'), ("B", '{"C":"4"}')}
+
+
+def test_weights_are_those_of_idf(spark):
+    """Counts by an exact vocabulary give the weights of Spark's IDF, without a pass of its own."""
+    from pyspark.ml.feature import IDF
+
+    d = spark.createDataFrame([(i, ["a"] * (i + 1) + ["b"] * (i % 2) + ["c c"] * (i == 3)) for i in range(6)], "id long, t array<string>")
+    tf, held = L.count_stage(d, "t", 1, 10)
+    counted = tf.transform(d)
+    assert tf.vocabulary == ["a", "b", "c c"] and held == [6, 3, 1]
+    want = IDF(inputCol="__tf", outputCol="x", minDocFreq=2).fit(counted).idf.toArray()
+    for use in (True, False):
+        got = L.weight_stages(counted, 6, held, "v", 2, use, None)[0].getScalingVec().toArray()
+        assert [round(x, 12) for x in got] == [round(v + 1.0, 12) if use else 1.0 for v in want[:2]] + [0.0]
+
+
+def test_training_rows_carry_no_names(spark, monkeypatch):
+    """An iteration's tasks hold neither the feature names nor the stages behind the rows."""
+    seen, real = {}, L.estimator
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rows):
+            seen["meta"] = rows.schema["features"].metadata
+            seen["plan"] = rows._jdf.queryExecution().optimizedPlan().toString()
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(L, "estimator", lambda *a, **k: Spy(real(*a, **k)))
+    d = spark.createDataFrame([(i, f"plain {'alpha' if i % 2 else 'beta'} text", float(i % 2), 1) for i in range(20)], "doc_id long, text string, label double, x int")
+    pred = L.fit_draw(d, "LogisticRegression", {"C": 1, "min_df": 1}, aux=["x"])(d)
+    assert seen["meta"] == {"ml_attr": {"num_attrs": 5}} and "UDF" not in seen["plan"]
+    assert pred.filter("label = prediction").count() == 20
+
+
+def test_training_partitions():
+    assert [L.train_partitions(n, 12, False) for n in (100, 16_000, 160_000, 1_000_000, 10 ** 9)] == [1, 9, 12, 21, 512]
+    assert L.train_partitions(16_000, 12, True) == 33
