@@ -156,23 +156,28 @@ class RulePack:
         return (F.abs(F.length(tok) - len(value)) <= k) & (F.levenshtein(tok, F.lit(value), k) >= 0)
 
     def symbolise(self, tokens: Column) -> Column:
-        """Token array -> symbol string (one character per token)."""
+        """Token array -> symbol string (one character per token). Every
+        literal is tested once a token, giving its bit of a number. The literals
+        that a token satisfies are a clique themselves, so its symbol is that
+        of the number."""
         atoms = self.atoms()
-        syms = self.symbols()
+        if len(atoms) > 62:
+            raise ValueError("a rule pack has at most 62 literals")
         lo = min([len(a[1]) - (fuzzy_bound(a[1]) if a[0] == "fuzzy" else 0) for a in atoms if a[0] != "lemma"]
                  + [len(w) for a in atoms if a[0] == "lemma" for w in a[2]])
 
-        def one(t: Column) -> Column:
-            expr = None
-            for clique, s in syms.items():
-                cond = None
-                for i in sorted(clique):
-                    c = self._atom_test(t, atoms[i])
-                    cond = c if cond is None else cond & c
-                expr = F.when(cond, F.lit(s)) if expr is None else expr.when(cond, F.lit(s))
-            return F.when(F.length(t) < max(lo, 1), F.lit(OTHER)).otherwise(expr.otherwise(F.lit(OTHER)))
-
-        return F.array_join(F.transform(tokens, one), "")
+        def bits(t: Column) -> Column:
+            found = sum((F.when(self._atom_test(t, a), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                         for i, a in enumerate(atoms)), F.lit(0).cast("bigint"))
+            return F.when(F.length(t) < max(lo, 1), F.lit(0).cast("bigint")).otherwise(found)
+
+        def one(m: Column) -> Column:
+            expr = F.when(m == 0, F.lit(OTHER))
+            for clique, s in sorted(self.symbols().items(), key=lambda c: len(c[0])):
+                expr = expr.when(m == F.lit(sum(1 << i for i in clique)), F.lit(s))
+            return expr.otherwise(F.lit(OTHER))
+
+        return F.array_join(F.transform(F.transform(tokens, bits), one), "")
 
     def _element_regex(self, e) -> str:
         if isinstance(e, Gap):

@@ -76,3 +76,14 @@ def test_gap_bounds(spark):
     out = dict(df.select("id", classify_combined(RP.APPELLANT_TYPE, F.col("text"), "3", ("2", "1"),
                                                  RP.APPELLANT_ORDER).alias("t")).collect())
     assert out == {1: "2", 2: "Other"}
+
+
+def test_each_literal_is_tested_once_a_token(spark):
+    pack = RP.APPELLANT_TYPE
+    d = spark.createDataFrame([("the appeal of patent proprietor ( xx",)], "text string")
+    got = d.select(symbol_string(pack, F.col("text")).alias("s"))
+    fuzzy = [a for a in pack.atoms() if a[0] == "fuzzy"]
+    assert got._jdf.queryExecution().analyzed().toString().count("levenshtein(") == len(fuzzy)
+    # the symbol is that of all literals within reach
+    names = {s: {pack.atoms()[i][1] for i in c} for c, s in pack.symbols().items()}
+    assert [names.get(s) for s in got.first()["s"]] == [{"the"}, {"appeal"}, {"of"}, {"patent"}, {"proprietor"}, {"("}, None]
