@@ -10,7 +10,7 @@ from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators.features import term_frequencies
 from ..operators.sampling import hash_order
-from .catalog import docs, query, t
+from .catalog import dealt, docs, query, t
 from .scalars import articles_frame, _PROV_SQL
 from .sqlbits import clean_tokens_sql
 from .windows import cases, random_split
@@ -318,7 +318,7 @@ SELECT term, count(*) AS df FROM x GROUP BY term ORDER BY df DESC, term LIMIT 20
 """)
 def top_terms(spark, sf):
     """Top-20 terms by document frequency (the limit is the feature)."""
-    d = docs(spark, sf).select("doc_id", TX.clean_tokens(F.col("text"), stopwords=True).alias("tok"))
+    d = dealt(spark, sf).select("doc_id", TX.clean_tokens(F.col("text"), stopwords=True).alias("tok"))
     v = term_frequencies(d, "doc_id", "tok").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return R.top_k(v, [F.col("df").desc(), F.col("term").asc()], 20)
 

@@ -18,3 +18,13 @@ def test_mean_vectors_shuffle_tokens_alone(spark, monkeypatch):
             rows = features.mean_vectors(tokens, "doc_id", vectors, "word", "vec", **more)
         flat = lambda df: {(r[0], r[1]): round(r[2], 9) for r in df.collect()}
         assert flat(got) == flat(rows) and len(flat(got)) == 8 * 3
+
+
+def test_terms_are_weighted_where_their_document_is(spark):
+    """Only texts and the vocabulary cross a shuffle, no row for each term of a document."""
+    from lexframe.plans.text import ngram_tf_l2, tfidf_l2
+
+    for q in (tfidf_l2, ngram_tf_l2):
+        plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert shuffles and all("hashpartitioning(doc_id" in x and "term" not in x for x in shuffles)
