@@ -166,10 +166,23 @@ class RulePack:
         lo = min([len(a[1]) - (fuzzy_bound(a[1]) if a[0] == "fuzzy" else 0) for a in atoms if a[0] != "lemma"]
                  + [len(w) for a in atoms if a[0] == "lemma" for w in a[2]])
 
+        plain = [(a, 1 << i) for i, a in enumerate(atoms) if a[0] != "fuzzy"]
+        words = {w for (kind, value, forms), _ in plain for w in (forms if kind == "lemma" else (value,))}
+        # of plain words a lookup tells the bits; no other token is compared with them
+        table = [(w, sum(bit for a, bit in plain if self._token_satisfies(w, a))) for w in sorted(words)]
+        none = F.lit(0).cast("bigint")
+        spans = [(len(a[1]) - fuzzy_bound(a[1]), len(a[1]) + fuzzy_bound(a[1])) for a in atoms if a[0] == "fuzzy"]
+
         def bits(t: Column) -> Column:
-            found = sum((F.when(self._atom_test(t, a), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-                         for i, a in enumerate(atoms)), F.lit(0).cast("bigint"))
-            return F.when(F.length(t) < max(lo, 1), F.lit(0).cast("bigint")).otherwise(found)
+            found = none
+            if table:
+                of = F.element_at(F.create_map(*[F.lit(x) for w, n in table for x in (w, n)]), t).cast("bigint")
+                found = F.when(t.isin(*sorted(words)), of).otherwise(none)
+            if spans:
+                near = sum((F.when(self._atom_test(t, a), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                            for i, a in enumerate(atoms) if a[0] == "fuzzy"), none)
+                found = found + F.when(F.length(t).between(min(x for x, _ in spans), max(y for _, y in spans)), near).otherwise(none)
+            return F.when(F.length(t) < max(lo, 1), none).otherwise(found)
 
         def one(m: Column) -> Column:
             expr = F.when(m == 0, F.lit(OTHER))
@@ -211,23 +224,31 @@ def first_hit(hits: dict[str, Column], order: list[str], default: str) -> Column
     return expr.otherwise(F.lit(default))
 
 
+def _once(x: Column, of) -> Column:
+    """``of(x)`` with ``x`` evaluated once: every rule reads the symbols, and
+    behind an ``or`` or a later ``when`` Spark would make them anew for each."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def classify(pack: RulePack, text: Column, order: list[str] | None = None) -> Column:
     """Label of the highest-priority rule that matches ``text``."""
-    sym = pack.symbolise(match_tokens(text))
-    return first_hit(pack.hits(sym), order or list(pack.labels), pack.default)
+    return _once(pack.symbolise(match_tokens(text)), lambda sym: first_hit(
+        pack.hits(sym), order or list(pack.labels), pack.default))
 
 
 def classify_combined(pack: RulePack, text: Column, both: str, pair: tuple[str, str], order: list[str]) -> Column:
     """Appellant-type resolution (T13): ``both`` if it hit or both of ``pair``
     hit, then the rest of ``order``."""
-    sym = pack.symbolise(match_tokens(text))
-    h = pack.hits(sym)
-    combined = h[both] | (h[pair[0]] & h[pair[1]])
-    expr = F.when(combined, F.lit(both))
-    for lab in order:
-        if lab != both:
-            expr = expr.when(h[lab], F.lit(lab))
-    return expr.otherwise(F.lit(pack.default))
+    def resolve(sym: Column) -> Column:
+        h = pack.hits(sym)
+        combined = h[both] | (h[pair[0]] & h[pair[1]])
+        expr = F.when(combined, F.lit(both))
+        for lab in order:
+            if lab != both:
+                expr = expr.when(h[lab], F.lit(lab))
+        return expr.otherwise(F.lit(pack.default))
+
+    return _once(pack.symbolise(match_tokens(text)), resolve)
 
 
 def symbol_string(pack: RulePack, text: Column) -> Column:

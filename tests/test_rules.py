@@ -87,3 +87,11 @@ def test_each_literal_is_tested_once_a_token(spark):
     # the symbol is that of all literals within reach
     names = {s: {pack.atoms()[i][1] for i in c} for c, s in pack.symbols().items()}
     assert [names.get(s) for s in got.first()["s"]] == [{"the"}, {"appeal"}, {"of"}, {"patent"}, {"proprietor"}, {"("}, None]
+
+
+def test_symbols_are_made_once_a_text(spark):
+    d = spark.createDataFrame([("The appellant (opponent 1) filed",)], "text string")
+    for c in (classify(RP.LICENCE, F.col("text"), RP.LICENCE_ORDER),
+              classify_combined(RP.APPELLANT_TYPE, F.col("text"), "3", ("2", "1"), RP.APPELLANT_ORDER)):
+        plan = d.select(c)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1
