@@ -94,3 +94,19 @@ def test_training_rows_carry_no_names(spark, monkeypatch):
 def test_training_partitions():
     assert [L.train_partitions(n, 12, False) for n in (100, 16_000, 160_000, 1_000_000, 10 ** 9)] == [1, 9, 12, 21, 512]
     assert L.train_partitions(16_000, 12, True) == 33
+
+
+def test_tree_rows_are_spread(spark):
+    """Few large partitions of training rows are dealt anew, and small tables stay as they are."""
+    few = spark.range(0, 3000, 1, 2)
+    parts = L.train_partitions(3000, 4, True)
+    sizes = L.spread(few, parts).groupBy(F.spark_partition_id()).count().collect()
+    assert parts == 7 and len(sizes) == 7 and max(r["count"] for r in sizes) < 2 * 3000 / 7
+    assert L.spread(few, 1).rdd.getNumPartitions() == 1
+
+
+def test_feature_importance_deals_its_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "spread", lambda rows, parts: seen.append(parts) or rows.repartition(parts))
+    monkeypatch.setattr(L, "TRAIN_ROWS", 10)
+    assert P.feature_importance(spark, "/root/testdata/sf0.001").count() <= 20 and seen and seen[0] > 1
