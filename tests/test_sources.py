@@ -103,3 +103,18 @@ def test_shared_folder_is_one(spark):
 
     assert shared_dir(spark) == shared_dir(spark)
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
+
+
+def test_written_xml_is_compressed_and_cut(spark, tmp_path, monkeypatch):
+    """Every record comes back from files of a bounded number of records, which are far smaller than their tags."""
+    import os
+
+    from lexframe.sources import files as FS
+
+    monkeypatch.setattr(FS, "XML_RECORDS", 400)
+    d = spark.range(0, 1000, 1, 1).selectExpr("id AS _id", "array('A & B <C>', cast(id AS string)) AS `ep-board-of-appeal-code`")
+    FS.write_xml(d, str(tmp_path / "x"), "rec", "recs")
+    sizes = [os.path.getsize(tmp_path / "x" / f) for f in os.listdir(tmp_path / "x") if f.startswith("part-")]
+    assert len(sizes) == 3 and sum(sizes) < 30_000
+    got = FS.read_xml(spark, str(tmp_path / "x"), "rec", d.schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, d.collect()))
