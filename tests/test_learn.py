@@ -110,3 +110,23 @@ def test_feature_importance_deals_its_rows(spark, monkeypatch):
     monkeypatch.setattr(L, "spread", lambda rows, parts: seen.append(parts) or rows.repartition(parts))
     monkeypatch.setattr(L, "TRAIN_ROWS", 10)
     assert P.feature_importance(spark, "/root/testdata/sf0.001").count() <= 20 and seen and seen[0] > 1
+
+
+def searched(spark, monkeypatch, name):
+    """The draws that a query hands to the search."""
+    class Seen(Exception):
+        pass
+
+    def stop(rows, split, algo, draws, *a, **k):
+        raise Seen(draws)
+
+    monkeypatch.setattr(L, "cross_validate", stop)
+    try:
+        getattr(P, name)(spark, "/root/testdata/sf0.001")
+    except Seen as e:
+        return e.args[0]
+
+
+def test_random_search_makes_all_draws(spark, monkeypatch):
+    draws = searched(spark, monkeypatch, "random_search")
+    assert len({repr(sorted(d.items(), key=repr)) for d in draws}) == P.PUBLISHED_DRAWS == 50
