@@ -130,3 +130,8 @@ def searched(spark, monkeypatch, name):
 def test_random_search_makes_all_draws(spark, monkeypatch):
     draws = searched(spark, monkeypatch, "random_search")
     assert len({repr(sorted(d.items(), key=repr)) for d in draws}) == P.PUBLISHED_DRAWS == 50
+
+
+def test_temporal_search_makes_all_draws(spark, monkeypatch):
+    draws = searched(spark, monkeypatch, "temporal_search")
+    assert len({repr(sorted(d.items(), key=repr)) for d in draws}) == 50 and {d["norm"] for d in draws} == {None, "l2"}
