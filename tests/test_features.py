@@ -28,3 +28,31 @@ def test_terms_are_weighted_where_their_document_is(spark):
         plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
         assert shuffles and all("hashpartitioning(doc_id" in x and "term" not in x for x in shuffles)
+
+
+def test_document_frequencies_by_document(spark):
+    """Rows of one key are one document, and so are those without a key."""
+    rows = [(1, "a b a"), (1, "b c"), (2, "b"), (None, "a d"), (None, "a"), (3, None), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for some, want in ((d, {"a": 2, "b": 2, "c": 1, "d": 1}), (d.filter("doc_id > 1"), {"b": 1}), (d.limit(0), {})):
+        got = features.counted_documents(some, "doc_id", "text", lambda c: F.expr("filter(split(text, ' '), x -> x <> '')"))
+        assert {r["term"]: r["df"] for r in got.collect()} == want
+
+
+def test_vectors_are_not_sorted_with_their_tokens(spark):
+    """Sums of a dimension are hashed: no sort, and one exchange of a row a document and task."""
+    from lexframe.plans.text import doc_mean_embedding, doc_vectors_idf
+
+    for q in (doc_mean_embedding, doc_vectors_idf):
+        plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "ObjectHashAggregate" not in plan
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert len(shuffles) == 1 and "hashpartitioning(doc_id" in shuffles[0]
+
+
+def test_short_vectors(spark):
+    """Each dimension is the mean of the vectors that have it."""
+    tokens = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "z")], "doc_id long, term string")
+    vectors = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [3.0]), ("z", None)], "word string, vec array<float>")
+    got = features.mean_vectors(tokens, "doc_id", vectors, "word", "vec").collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(1, 0): 2.0, (1, 1): 2.0, (2, 0): 3.0}
