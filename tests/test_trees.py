@@ -1,6 +1,7 @@
 """Sparse trees against Spark's and brute force; a vocabulary of any size is exact."""
 
 import numpy as np
+import pytest
 from lexframe.operators import learn as L
 from lexframe.operators import trees as TR
 from pyspark.ml.classification import GBTClassifier
@@ -74,3 +75,10 @@ def test_every_term_is_a_feature_of_its_own(spark, monkeypatch):
     assert terms.size == 300_000
     e = terms.entries(terms.tf.filter("__id = 7"))
     assert e.select("feature").distinct().count() == 1000 and abs(e.agg(F.sum("value")).first()[0] - 1000 ** 0.5) < 1e-6
+
+
+def test_labels_are_checked(spark):
+    d = spark.createDataFrame([(1, "some text", 1.0), (2, "some more", None)], "doc_id long, text string, label double")
+    for algo in ("RandomForest", "GradientBoosting"):
+        with pytest.raises(ValueError):
+            L.fit_draw(d, algo, {"min_df": 1})
